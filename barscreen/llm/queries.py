@@ -43,6 +43,40 @@ def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_simhash_near_dedup, op4_minimum_bin_slack_packing, op6_relational_chat_format, op7_pivot_near_dedup, op9_exact_top_k)}
-
-ORACLE_SQL: dict[str, str] = {}
+def op10_set_similarity_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barscreen.llm.lines import deduplicated
+
+    return deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_simhash_near_dedup, op4_minimum_bin_slack_packing, op6_relational_chat_format, op7_pivot_near_dedup, op9_exact_top_k, op10_set_similarity_line_dedup)}
+
+ORACLE_SQL: dict[str, str] = {
+    "op6_relational_chat_format": """
+        WITH said AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+        marked AS (SELECT *, coalesce(lag(role) OVER w = role, false) AS same,
+                regexp_replace(replace(text, chr(92), chr(92) || chr(92)), '(<[|]|</?s>|[[]/?INST])', '\\1 ', 'g') AS grown
+            FROM said WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text))
+        SELECT conv_id, count(*) AS n_turns,
+            sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+            CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+            sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+            CAST(7 + sum(length(grown) + CASE WHEN same THEN 8 ELSE 23 + length(role) END) AS BIGINT) AS formatted_chars
+        FROM marked GROUP BY conv_id""",
+    "op10_set_similarity_line_dedup": """
+        WITH lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n
+            FROM documents),
+        sized AS (SELECT doc_id, n, line, list_sort(list_distinct(list_filter(string_split(translate(lower(line), chr(9) || chr(13) || chr(11) || chr(12), '    '), ' '), lambda x: x <> ''))) AS ws
+            FROM lines),
+        sets AS (SELECT *, row_number() OVER (ORDER BY doc_id, n) AS id FROM (SELECT ws, len(ws) AS c, min_by(doc_id, (doc_id, n)) AS doc_id, min_by(n, (doc_id, n)) AS n
+            FROM sized WHERE len(ws) >= 5 GROUP BY ws)),
+        words AS (SELECT id, c, unnest(ws) AS w FROM sets),
+        met AS (SELECT a.id, a.c, b.c AS d, count(*) AS common FROM words a JOIN words b ON a.w = b.w AND b.id < a.id AND 0.8 * greatest(a.c, b.c) <= least(a.c, b.c) + 1e-9
+            GROUP BY a.id, b.id, a.c, b.c),
+        matched AS (SELECT DISTINCT id FROM met WHERE common >= 0.8 * (c + d - common) - 1e-9),
+        gone AS (SELECT z.doc_id, z.n FROM sized z JOIN sets s ON z.ws = s.ws WHERE (z.doc_id, z.n) <> (s.doc_id, s.n) OR s.id IN (FROM matched)),
+        marked AS (SELECT l.doc_id, l.n, l.line, g.n IS NOT NULL AS dropped FROM lines l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.n = g.n)
+        SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (NOT dropped), '') AS text, CAST(count(*) FILTER (dropped) AS BIGINT) AS n_removed
+        FROM marked GROUP BY doc_id""",
+}

@@ -16,12 +16,24 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_token_efficiency_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barscreen.llm.secrets import scanned
+
+    return scanned(table(spark, sf_dir, "documents"))
+
+
 def op4_minimum_bin_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from barscreen.llm.packing import pack
 
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op5_skip_chain_crf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barscreen.llm.personal import scanned
+
+    return scanned(table(spark, sf_dir, "documents"))
+
+
 def op6_relational_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from barscreen.llm.chat import digests
 
@@ -49,7 +61,19 @@ def op10_set_similarity_line_dedup(spark: SparkSession, sf_dir: str) -> DataFram
     return deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_simhash_near_dedup, op4_minimum_bin_slack_packing, op6_relational_chat_format, op7_pivot_near_dedup, op9_exact_top_k, op10_set_similarity_line_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        op2_simhash_near_dedup,
+        op3_token_efficiency_secrets,
+        op4_minimum_bin_slack_packing,
+        op5_skip_chain_crf_pii,
+        op6_relational_chat_format,
+        op7_pivot_near_dedup,
+        op9_exact_top_k,
+        op10_set_similarity_line_dedup,
+    )
+}
 
 ORACLE_SQL: dict[str, str] = {
     "op6_relational_chat_format": """

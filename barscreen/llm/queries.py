@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from barscreen.llm.common import table
 
 
+def op1_hierarchical_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barscreen.llm.mixing import mixed
+
+    return mixed(table(spark, sf_dir, "documents")).select("doc_id", "domain", "lang", "source", "tokens", "epoch")
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from barscreen.llm.simhash import near_duplicates
 
@@ -49,6 +55,13 @@ def op7_pivot_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op8_co_trained_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barscreen.llm.quality import scored
+
+    found = scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "text_score", "meta_score", "score", "keep")
+
+
 def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     from barscreen.llm.topk import top_k
 
@@ -64,12 +77,14 @@ def op10_set_similarity_line_dedup(spark: SparkSession, sf_dir: str) -> DataFram
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_hierarchical_mixing,
         op2_simhash_near_dedup,
         op3_token_efficiency_secrets,
         op4_minimum_bin_slack_packing,
         op5_skip_chain_crf_pii,
         op6_relational_chat_format,
         op7_pivot_near_dedup,
+        op8_co_trained_quality,
         op9_exact_top_k,
         op10_set_similarity_line_dedup,
     )

@@ -51,6 +51,12 @@ def narrow(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{x}`") for x in names])
 
 
-def joined_spans(spans: Column) -> Column:
-    """kind:start:end, comma-joined, of an array of (kind, start, end) that is in order already."""
-    return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])))
+def packed(df: DataFrame) -> Column:
+    """A whole row as one struct column: a caller's other columns then can't clash with an operator's own."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns])
+
+
+def unpacked(row: str, columns: list[str], *replaced: str) -> list[Column]:
+    """The columns of a packed row again, without those that an operator sets itself."""
+    gone = {c.lower() for c in replaced}
+    return [F.col(row)[c].alias(c) for c in columns if c.lower() not in gone]

@@ -16,7 +16,7 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barscreen.llm.common import written
+from barscreen.llm.common import packed, unpacked, written
 
 LEAF = ("_domain", "_lang", "_source")
 DOMAINS = ("web", "reference", "community")
@@ -76,14 +76,14 @@ def mixed(
 ) -> DataFrame:
     """docs with `domain`, `tokens` and `epoch`: a row for each epoch (from 0) that a document is taken in.
 
-    docs: (doc_id, text, lang, source and any others). share: the budget, as a part of all tokens of docs. A null lang
+    docs: (doc_id, text, lang, source and any others; domain, tokens and epoch are replaced). share: the budget, as a part of all tokens of docs. A null lang
     or source is a name of its own (empty); a null text has no tokens. Documents of one leaf with the same doc_id are
     taken together. A leaf without tokens is not taken; an empty table gives no rows. Weights are whole numbers.
     The leaves' sizes go through the driver (one row for each), documents never do.
     """
     spark = docs.sparkSession
     parts = (domain_of(F.col("source")) if domain is None else domain, F.coalesce("lang", F.lit("")), F.coalesce("source", F.lit("")))
-    named = docs.select(*[F.col(f"`{c}`") for c in docs.columns], words(F.col("text")).alias("_tokens"), *[c.alias(n) for c, n in zip(parts, LEAF, strict=True)])
+    named = docs.select("doc_id", packed(docs).alias("_row"), words(F.col("text")).alias("_tokens"), *[c.alias(n) for c, n in zip(parts, LEAF, strict=True)])
     sized = written(named.select("doc_id", "_tokens", *LEAF), "sizes")
     leaves = {tuple(r[:3]): r[3] for r in sized.groupBy(*LEAF).agg(F.sum("_tokens")).collect()}
     weights = tuple(w if w is not None else default for w, default in ((domain_weights, DOMAIN_WEIGHTS), (lang_weights, LANG_WEIGHTS), (source_weights, {})))
@@ -108,4 +108,4 @@ def mixed(
 
     taken = named.join(small(plan), list(LEAF)).withColumn("_times", F.col("_full") + F.coalesce((key() <= F.col("_cutoff")).cast("int"), F.lit(0)))
     epochs = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_times") - 1)).alias("epoch")
-    return taken.filter("_times > 0").select(*[F.col(f"`{c}`") for c in docs.columns], F.col("_domain").alias("domain"), F.col("_tokens").alias("tokens"), epochs)
+    return taken.filter("_times > 0").select(*unpacked("_row", docs.columns, "domain", "tokens", "epoch"), F.col("_domain").alias("domain"), F.col("_tokens").alias("tokens"), epochs)

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barscreen.llm.common import narrow, small_batches
+from barscreen.llm.common import narrow, packed, small_batches, unpacked
 
 LABELLED, POOL = 4000, 4000  # documents in the samples, at most
 TEXT_FEATURES, META_FEATURES = 16, 96
@@ -173,7 +173,7 @@ def fitted(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: i
 def scored(docs: DataFrame, labels: DataFrame, keep: float = 0.5, labelled: int = LABELLED, pool: int = POOL) -> DataFrame:
     """docs with `text_score`, `meta_score`, `score` (the probability of good quality) and `keep` (score >= keep).
 
-    docs: (doc_id, text, lang, source, n_chars and any others); labels: (doc_id, quality), 1 for good. A document with
+    docs: (doc_id, text, lang, source, n_chars and any others, but for those that are added); labels: (doc_id, quality), 1 for good. A document with
     several labels takes the lowest. Null or empty texts and null metadata have features of their own. Without labels
     of both kinds all scores are 1. Rows keep their number; the model doesn't depend on their order.
     """
@@ -183,5 +183,6 @@ def scored(docs: DataFrame, labels: DataFrame, keep: float = 0.5, labelled: int
     def score(text: pd.Series, lang: pd.Series, source: pd.Series, n_chars: pd.Series) -> pd.DataFrame:
         return pd.DataFrame(model.scores(views(text, lang, source, n_chars)).round(6), columns=["text_score", "meta_score", "score"])
 
-    found = docs.withColumn("_s", score("text", "lang", "source", "n_chars"))
-    return found.select(*[F.col(f"`{c}`") for c in docs.columns], "_s.*").withColumn("keep", F.col("score") >= keep)
+    found = docs.select(packed(docs).alias("row"), score("text", "lang", "source", "n_chars").alias("s"))
+    own = ("text_score", "meta_score", "score", "keep")
+    return found.select(*unpacked("row", docs.columns, *own), "s.*", (F.col("s.score") >= keep).alias("keep"))

@@ -3,33 +3,39 @@
 A line is the set of its lower-case words. Lines with equal sets are joined by a 128-bit hash first. Then the words of
 each set are put in order of rarity, counted over all documents; two sets with a Jaccard similarity of at least t share a
 word among the first size - ceil(t * size) + 1 of each (prefix filter), have sizes within a factor t (length filter), and
-at the places of a shared word leave room for enough common words (positional filter). What passes is verified by its
-exact similarity.
+leave room for enough common words from the first shared one on (positional filter). 64 parity bits of each set go with
+its words: two sets differ in at least as many words as these bits do, which stops nearly all pairs that only share a
+word. What passes is verified by its exact similarity.
 
 Only the existence of an earlier match counts, so the pairs within a large family of similar lines are never all made:
-first each set is compared with the earliest set of every word list that it is in; only sets without a match then are
-compared with the other earlier sets of their lists.
+each set is first compared with the earliest set of every word list that it is in. Only sets that have no match then are
+compared with all earlier sets of their lists.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barscreen.llm.common import narrow, written
+from barscreen.llm.common import narrow, packed, unpacked, written
 
 #: Counters of word hashes: their number is fixed, and with it the size of what tells rare words from frequent ones.
-COUNTERS = 1 << 16
+COUNTERS = 1 << 18
 SPACES = "\t\r\x0b\x0c"
+COMMON = 1 << 15  # words that are counted so often, or more, are equally frequent
+BROADCAST_LINES = 4_000_000  # line numbers (and documents) that may be broadcast, 64 MB or so; beyond, the join shuffles
 
 
 def lines_of(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def words_of(text: Column, spaces: str = SPACES) -> Column:
+def words_of(text: Column) -> Column:
     """The lower-case words of a text, repeats and empty strings included."""
-    return F.split(F.translate(F.lower(text), spaces, " " * len(spaces)), " ", -1)
+    low, odd = F.lower(text), F.lit(False)
+    for c in SPACES:  # rare, and slow to look for letter by letter
+        odd = odd | F.contains(text, F.lit(c))
+    return F.split(F.when(odd, F.translate(low, SPACES, " " * len(SPACES))).otherwise(low), " ", -1)
 
 
 def _slot(hashed: Column) -> Column:
@@ -38,91 +44,112 @@ def _slot(hashed: Column) -> Column:
 
 def rarity(docs: DataFrame) -> Column:
     """An array of COUNTERS numbers as a scalar: how many words of all texts have a hash that ends in each slot."""
-    words = docs.select(F.explode(words_of(F.col("text"), SPACES + "\n")).alias("w")).filter("w != ''")
+    words = docs.select(F.replace("text", F.lit("\n"), F.lit(" ")).alias("text")).select(F.explode(words_of(F.col("text"))).alias("w"))
     counts = written(words.groupBy(_slot(F.xxhash64("w")).alias("slot")).agg(F.count("*").alias("n")), "word-counts")
     slots = docs.sparkSession.range(COUNTERS).select(F.col("id").alias("slot"))
-    packed = slots.join(counts, "slot", "left").select(F.col("slot"), F.least(F.coalesce("n", F.lit(0)), F.lit((1 << 46) - 1)).alias("n"))
+    packed = slots.join(counts, "slot", "left").select(F.col("slot"), F.least(F.coalesce("n", F.lit(0)), F.lit(COMMON)).alias("n"))
     ordered = F.sort_array(F.collect_list(F.struct("slot", "n")))
     return packed.agg(F.transform(ordered, lambda x: x["n"]).alias("n")).scalar()
 
 
 def hashes_of(line: Column) -> Column:
     """The distinct words of a line as hashes, in no useful order."""
-    return F.array_distinct(F.transform(F.filter(words_of(line), lambda w: w != ""), lambda w: F.xxhash64(w)))
+    return F.array_remove(F.array_distinct(F.transform(words_of(line), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
 
 
 def by_rarity(hashes: Column, counts: Column) -> Column:
-    """The hashes in order of rarity: the counter's number in the upper half, the hash's upper bits in the lower."""
+    """The hashes in order of rarity: the counter's number in the upper bits, the hash's upper bits in the lower 47."""
     upper = F.lit((1 << 47) - 1)
-    key = lambda h: F.shiftleft(F.least(F.get(counts, _slot(h).cast("int")), F.lit(1 << 15)), 47).bitwiseOR(F.shiftrightunsigned(h, 17).bitwiseAND(upper))
+    key = lambda h: F.shiftleft(F.get(counts, _slot(h).cast("int")), 47).bitwiseOR(F.shiftrightunsigned(h, 17).bitwiseAND(upper))
     return F.sort_array(F.transform(hashes, key))
 
 
-def _needed(a: Column, b: Column, t: float) -> Column:
-    """The least number of common words of sets of a and b words with a similarity of t."""
-    return F.ceil(F.lit(t / (1 + t)) * (a + b) - 1e-9)
+def parity(hashes: Column) -> Column:
+    """64 bits, each flipped once for every word that falls on it."""
+    one = F.lit(1).cast("bigint")
+    return F.aggregate(hashes, F.lit(0).cast("bigint"), lambda bits, h: bits.bitwiseXOR(F.call_function("shiftleft", one, h.bitwiseAND(F.lit(63)).cast("int"))))
 
 
 def _prefix(size: Column, t: float) -> Column:
     return (size - F.ceil(F.lit(t) * size - 1e-9) + 1).cast("int")
 
 
-def _pairs(rows: DataFrame, t: float) -> DataFrame:
-    """Pairs (doc_id, line, to_doc, to_line) of rows (size, pos, to_size, to_pos ...) that pass the length and positional filters."""
-    long, short = F.greatest("size", "to_size"), F.least("size", "to_size")
-    room = F.least(F.col("size") - F.col("pos"), F.col("to_size") - F.col("to_pos"))  # common words from this one on
-    before = F.least("pos", "to_pos")
-    passed = rows.filter((F.lit(t) * long <= short + 1e-9) & (room + before >= _needed(F.col("size"), F.col("to_size"), t)))
-    return passed.select("doc_id", "line", "to_doc", "to_line").distinct()
+def _passes(a: dict[str, Column], b: dict[str, Column], t: float) -> Column:
+    """The length, positional and parity filters for sets that share a word at a's and b's pos, by size, pos and bits."""
+    both = a["size"] + b["size"]
+    needed = F.ceil(F.lit(t / (1 + t)) * both - 1e-9)  # common words that a similarity of t takes
+    sizes = F.lit(t) * F.greatest(a["size"], b["size"]) <= F.least(a["size"], b["size"]) + 1e-9
+    room = F.least(a["size"] - a["pos"], b["size"] - b["pos"]) >= needed
+    return sizes & room & (F.bit_count(a["bits"].bitwiseXOR(b["bits"])) <= both - 2 * needed)
 
 
-def _similar(pairs: DataFrame, words: DataFrame, t: float) -> DataFrame:
-    """(doc_id, line) of the pairs whose word sets have a similarity of t."""
-    own = words.withColumnRenamed("words", "a")
-    other = words.select(F.col("doc_id").alias("to_doc"), F.col("line").alias("to_line"), F.col("words").alias("b"))
-    both = pairs.join(own, ["doc_id", "line"]).join(other, ["to_doc", "to_line"])
+def _by_document(lines: DataFrame, name: str) -> DataFrame:
+    """(doc_id, name) with the line numbers of each document, to be broadcast if there are few enough."""
+    held = written(lines.groupBy("doc_id").agg(F.collect_set("line").alias(name)), "lines-by-document")
+    count = held.agg(F.coalesce(F.sum(F.size(name) + 1), F.lit(0))).first()[0]
+    return F.broadcast(held) if count <= BROADCAST_LINES else held
+
+
+def _similar(pairs: DataFrame, docs: DataFrame, t: float) -> DataFrame:
+    """(doc_id, line) of the pairs (doc_id, line, to_doc, to_line) whose word sets have a similarity of t, words as 64-bit hashes."""
+    ends = pairs.select("doc_id", "line").union(pairs.select("to_doc", "to_line")).distinct()
+    texts = docs.join(_by_document(ends, "wanted"), "doc_id").withColumn("lines", lines_of(F.col("text")))
+    at = F.explode(F.transform("wanted", lambda k: F.struct(k.alias("line"), F.get("lines", k).alias("words"))))
+    words = written(texts.select("doc_id", at.alias("x")).select("doc_id", "x.line", hashes_of(F.col("x.words")).alias("a")), "line-words")
+    other = words.select(F.col("doc_id").alias("to_doc"), F.col("line").alias("to_line"), F.col("a").alias("b"))
+    both = pairs.join(words, ["doc_id", "line"]).join(other, ["to_doc", "to_line"])
     common = F.size(F.array_intersect("a", "b"))
     return both.filter(common >= F.lit(t) * (F.size("a") + F.size("b") - common) - 1e-9).select("doc_id", "line").distinct()
 
 
+def _verified(pairs: DataFrame, docs: DataFrame, t: float) -> DataFrame:
+    """(doc_id, line) of the lines with a pair (doc_id, line, to_doc, to_line, off) of a similarity of t.
+
+    One match is enough for a line, so its closest pair by the parity bits goes first; only lines that it fails are
+    verified against all their other pairs.
+    """
+    pairs = written(pairs.distinct(), "line-pairs")
+    closest = F.min(F.struct("off", "to_doc", "to_line")).alias("c")
+    best = written(pairs.groupBy("doc_id", "line").agg(closest).select("doc_id", "line", "c.to_doc", "c.to_line"), "closest-lines")
+    found = written(_similar(best, docs, t), "matched-lines")
+    rest = pairs.drop("off").join(found, ["doc_id", "line"], "left_anti").join(best, ["doc_id", "line", "to_doc", "to_line"], "left_anti")
+    rest = written(rest, "line-pairs")
+    return found if rest.isEmpty() else found.union(written(_similar(rest, docs, t), "matched-lines"))
+
+
 def line_matches(docs: DataFrame, t: float = 0.8, min_words: int = 5) -> DataFrame:
     """(doc_id, line) of every line (from 0) of docs (doc_id, text) that an earlier line matches."""
     docs = narrow(docs, "doc_id", "text").filter("doc_id is not null and text is not null")
     counts = rarity(docs)
     split = docs.select("doc_id", F.posexplode(lines_of(F.col("text"))).alias("line", "words")).filter(F.length("words") >= 2 * min_words - 1)
-    hashed = split.select("doc_id", "line", hashes_of(F.col("words")).alias("h")).filter(F.size("h") >= min_words)
+    hashed = split.select("doc_id", "line", hashes_of(F.col("words")).alias("h"))
     keyed = hashed.withColumn("counts", counts).select("doc_id", "line", by_rarity(F.col("h"), F.col("counts")).alias("h"))
-    size = F.size("h")
-    lines = written(
-        keyed.select("doc_id", "line", F.xxhash64("h").alias("h1"), F.xxhash64(F.lit(1), F.reverse("h")).alias("h2"), size.alias("size"), F.slice("h", F.lit(1), _prefix(size, t)).alias("prefix")), "lines"
-    )
-    same = [F.min(F.struct("doc_id", "line")).alias("at"), F.first("size").alias("size"), F.first("prefix").alias("prefix")]
-    sets = written(lines.groupBy("h1", "h2").agg(*same).select("h1", "h2", "at.doc_id", "at.line", "size", "prefix"), "line-sets")
-
-    lists = sets.select("doc_id", "line", "size", F.posexplode("prefix").alias("pos", "word"))
-    first = F.min(F.struct(F.col("doc_id").alias("to_doc"), F.col("line").alias("to_line"), F.col("size").alias("to_size"), F.col("pos").alias("to_pos"))).alias("first")
-    shared = lists.groupBy("word").agg(F.count("*").alias("n"), first).filter("n > 1").select("word", "first.*")
-    near = written(lists.join(shared, "word"), "shared-words")
-
-    wanted = near.select("doc_id", "line").distinct()
-    texts = docs.join(wanted.groupBy("doc_id").agg(F.collect_set("line").alias("wanted")), "doc_id")
-    at = F.explode(F.transform("wanted", lambda k: F.struct(k.alias("line"), F.get("lines", k).alias("words"))))
-    words = written(texts.withColumn("lines", lines_of(F.col("text"))).select("doc_id", at.alias("x")).select("doc_id", "x.line", F.array_remove(F.array_distinct(words_of(F.col("x.words"))), "").alias("words")), "line-words")
-
-    other = (F.col("doc_id") != F.col("to_doc")) | (F.col("line") != F.col("to_line"))
-    found = written(_similar(_pairs(near.filter(other), t), words, t), "matched-lines")
-    rest = near.join(found, ["doc_id", "line"], "left_anti")
-    earlier = near.select("word", *[F.col(a).alias(b) for a, b in (("doc_id", "x_doc"), ("line", "x_line"), ("size", "x_size"), ("pos", "x_pos"))])
-    later = (F.col("x_doc") < F.col("doc_id")) | ((F.col("x_doc") == F.col("doc_id")) & (F.col("x_line") < F.col("line")))
-    compared = (F.col("x_doc") != F.col("to_doc")) | (F.col("x_line") != F.col("to_line"))
-    met = rest.join(earlier, "word").filter(later & compared)
-    met = met.select("doc_id", "line", "size", "pos", F.col("x_doc").alias("to_doc"), F.col("x_line").alias("to_line"), F.col("x_size").alias("to_size"), F.col("x_pos").alias("to_pos"))
-    found = found.union(_similar(_pairs(met, t), words, t))
-
-    repeats = lines.select("h1", "h2", "doc_id", "line").join(sets.select("h1", "h2", F.struct("doc_id", "line").alias("at")), ["h1", "h2"])
-    matched = sets.join(found, ["doc_id", "line"], "left_semi").select("h1", "h2")
-    all_of = lines.select("h1", "h2", "doc_id", "line").join(matched, ["h1", "h2"], "left_semi").select("doc_id", "line")
-    return repeats.filter(F.struct("doc_id", "line") != F.col("at")).select("doc_id", "line").union(all_of).distinct()
+    hashes = [F.xxhash64("h").alias("h1"), F.xxhash64(F.lit(1), "h").alias("h2")]
+    of_set = [F.size("h").alias("size"), parity(F.col("h")).alias("bits"), F.transform(F.slice("h", F.lit(1), _prefix(F.size("h"), t)), lambda w: F.hash(w)).alias("prefix")]
+    lines = written(keyed.select("doc_id", "line", *hashes, *of_set), "lines").filter(F.col("size") >= min_words)  # after the write: else hashed twice
+    first = F.min(F.struct("doc_id", "line")).alias("at")
+    sets = lines.groupBy("h1", "h2").agg(first, *[F.first(c).alias(c) for c in ("size", "bits", "prefix")])
+    sets = written(sets.select("at.*", "size", "bits", "prefix"), "line-sets")
+
+    lists = sets.select("doc_id", "line", "size", "bits", F.posexplode("prefix").alias("pos", "word"))
+    earliest = F.first(F.struct("doc_id", "line", "size", "pos", "bits")).over(Window.partitionBy("word").orderBy("doc_id", "line").rowsBetween(Window.unboundedPreceding, 0))
+    led = lists.withColumn("x", earliest).filter((F.col("x.doc_id") != F.col("doc_id")) | (F.col("x.line") != F.col("line")))
+    own = {c: F.col(c) for c in ("size", "pos", "bits")}
+    led = led.filter(_passes(own, {c: F.col(f"x.{c}") for c in own}, t))
+    found = _verified(led.select("doc_id", "line", F.col("x.doc_id").alias("to_doc"), F.col("x.line").alias("to_line"), F.bit_count(F.col("bits").bitwiseXOR(F.col("x.bits"))).alias("off")), docs, t)
+
+    small, dealt = (F.broadcast, lists.repartition("word")) if found.count() <= BROADCAST_LINES else (lambda df: df, lists)
+    rest = dealt.join(small(found), ["doc_id", "line"], "left_anti")  # after the exchange by word, which both sides then share
+    earlier = dealt.select("word", *[F.col(c).alias(f"x_{c}") for c in ("doc_id", "line", "size", "pos", "bits")])
+    later = (F.col("x_doc_id") < F.col("doc_id")) | ((F.col("x_doc_id") == F.col("doc_id")) & (F.col("x_line") < F.col("line")))
+    more = rest.join(earlier, "word").filter(later & _passes(own, {c: F.col(f"x_{c}") for c in own}, t))
+    more = more.select("doc_id", "line", F.col("x_doc_id").alias("to_doc"), F.col("x_line").alias("to_line"), F.bit_count(F.col("bits").bitwiseXOR(F.col("x_bits"))).alias("off"))
+    found = found.union(_verified(more, docs, t))
+
+    firsts = lines.groupBy("h1", "h2").agg(first)
+    named = written(lines.select("h1", "h2", "doc_id", "line").join(firsts, ["h1", "h2"]).filter((F.col("doc_id") != F.col("at.doc_id")) | (F.col("line") != F.col("at.line"))), "repeats")
+    again = named.select("doc_id", "line")  # lines whose set has come before; of the others, those with a match go
+    return again.union(found).distinct()
 
 
 def deduplicated(docs: DataFrame, t: float = 0.8, min_words: int = 5) -> DataFrame:
@@ -132,13 +159,13 @@ def deduplicated(docs: DataFrame, t: float = 0.8, min_words: int = 5) -> DataFra
     in lower case. Earlier means a smaller doc_id, or the same doc_id and a smaller line number; whether the earlier
     line is itself removed doesn't matter. Rows with a null doc_id or text stay as they are, and so do their lines.
     Rows that share a doc_id are one document for the order: lines at the same place of both aren't earlier than each
-    other and stay or go together. All other columns are kept.
+    other and stay or go together. All other columns are kept, but for one named n_removed.
     """
-    gone = line_matches(docs, t, min_words).groupBy("doc_id").agg(F.collect_set("line").alias("_gone"))
-    joined = docs.join(gone, "doc_id", "left")
-    joined = joined.withColumn("_lines", lines_of(F.col("text")))
-    left = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_gone")
-    kept = F.array_join(F.transform(left, lambda k: F.get("_lines", k)), "\n")
-    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept).alias("text")
-    return joined.select(*others, text, F.coalesce(F.array_size("_gone"), F.lit(0)).cast("bigint").alias("n_removed"))
+    gone = _by_document(line_matches(docs, t, min_words), "gone")
+    rows = docs.select("doc_id", packed(docs).alias("row"), F.col("text").alias("text"), lines_of(F.col("text")).alias("lines"))
+    joined = rows.join(gone, "doc_id", "left")
+    left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone")
+    kept = F.array_join(F.transform(left, lambda k: F.get("lines", k)), "\n")
+    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept).alias("text")
+    removed = F.coalesce(F.array_size("gone"), F.lit(0)).cast("bigint").alias("n_removed")
+    return joined.select(*unpacked("row", docs.columns, "text", "n_removed"), text, removed)

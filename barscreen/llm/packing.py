@@ -24,6 +24,7 @@ END_ID = 2
 CAPACITY = 1024
 TOKENIZER = "byte_bpe_50k.json"
 RANKS = "byte_bpe_50k.tiktoken"
+SPECIAL = {"<|endoftext|>": 50256}  # the token that TOKENIZER adds to the vocabulary
 
 
 @functools.cache
@@ -34,12 +35,12 @@ def encoding(name: str = RANKS):
 
     with open(public.path(name), "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    return tiktoken.Encoding(name, pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding(name, pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL)
 
 
 def token_ids(text: str | None) -> np.ndarray:
     """The ids of a whole text and the end id, as little-endian unsigned 32-bit numbers."""
-    return np.array([*encoding().encode_ordinary(text or ""), END_ID], "<u4")
+    return np.array([*encoding().encode(text or "", allowed_special="all"), END_ID], "<u4")
 
 
 def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:

@@ -342,3 +342,17 @@ def test_op8_quality(spark):
     assert len(got) == len(rows) and np.mean([x["keep"] == (x["doc_id"] % 5 != 0) for x in held_out]) > 0.97
     assert all(x["score"] == 1.0 for x in quality.scored(docs, known.filter("quality = 1")).collect())
     assert quality.scored(docs.limit(0), known).count() == 0
+
+
+def test_op4_ids_of_the_special_token(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
+    texts = ["ab <|endoftext|> cd", "<|endoftext|>", "x<|endoftext|><|endoftext|>y", "<|endoftext|", "a <|ENDOFTEXT|> b", prose(5, 900) + "<|endoftext|>\n" + prose(6, 900)]
+    got = packing.pack(documents(spark, texts)).toPandas()
+    for i, text in enumerate(texts):
+        ids = np.array([*tokenizer.encode(text, add_special_tokens=False).ids, 2], "<u4")
+        own = got[got.doc_id == i].sort_values("piece")
+        assert own.length.sum() == len(ids)
+        assert own.ids_crc32.tolist() == [zlib.crc32(ids[s : s + n].tobytes()) for s, n in zip(own.start, own.length, strict=True)]

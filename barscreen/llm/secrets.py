@@ -1,8 +1,9 @@
 """Secrets in texts: patterns of known forms, and random strings by token efficiency.
 
 A vocabulary trained on ordinary text spends few tokens on ordinary strings and many on random ones. A run of key
-characters with fewer than `ratio` characters per token is reported as random, unless it is a known digest (announced
-as one, or in a given set), an identifier (a UUID, a number, a date) or part of a span that a pattern has found.
+characters with fewer than `ratio` characters per token is reported as random, be it of letters only or not, unless it
+is a known digest (announced as one, or in a given set), an identifier (a UUID, a number, a date) or part of a span that
+a pattern has found. Long words are kept out by the ratio alone.
 """
 
 from __future__ import annotations
@@ -22,7 +23,6 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # a run that is long enough is the same leftmost match as [0-9a-f]+
 RUN = re.compile(r"(?<!\w)[A-Za-z0-9+/_=-]{16,}(?!\w)")  # not a part of a word with other letters
-MIXED = re.compile(r"[0-9]|[a-z].*[A-Z].*[A-Z]|[A-Z].*[a-z].*[A-Z]")  # words have neither digits nor inner capitals
 UUID = re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
 NUMBER = re.compile(r"[0-9_/+=-]+")
 DIGEST = re.compile(r"(?:sha-?\d{0,3}|md5|blake\w*|digest|checksum|commit|etag|integrity|crc\d*)\W{0,3}$", re.I | re.A)
@@ -47,7 +47,7 @@ def random_spans(text: str, base: list[Span], ratio: float = RATIO, known: froze
     found = []
     for m in RUN.finditer(text):
         run, start, end = m[0], m.start(), m.end()
-        if not MIXED.search(run) or run in known or NUMBER.fullmatch(run) or UUID.fullmatch(run) or overlaps(start, end, base):
+        if run in known or NUMBER.fullmatch(run) or UUID.fullmatch(run) or overlaps(start, end, base):
             continue
         if len(run) in DIGEST_LENGTHS and DIGEST.search(text, max(0, start - 24), start):
             continue

@@ -356,3 +356,10 @@ def test_op4_ids_of_the_special_token(spark):
         own = got[got.doc_id == i].sort_values("piece")
         assert own.length.sum() == len(ids)
         assert own.ids_crc32.tolist() == [zlib.crc32(ids[s : s + n].tobytes()) for s, n in zip(own.start, own.length, strict=True)]
+
+
+def test_op3_secrets_of_letters_only(spark):
+    random_ones = ["qzxvkjwpfhgbtmyc", "xqjzvkwpbtgfhdmycnrlqzkxwvjpbgtf", "QXZJVKWPGBFHTMYCQD", "Zqxvkjwpfhgbtmycwx"]
+    words = ["internationalization", "counterrevolutionaries", "Rechtsschutzversicherungsgesellschaften", "Donaudampfschifffahrtsgesellschaft", "RESPONSIBILITIES", "state-of-the-art-things", "snake_case_function_name", "constitucionalmente"]
+    got = {r["doc_id"]: r["n_random"] for r in secrets.scanned(documents(spark, [f"the {x} is" for x in [*random_ones, *words]])).collect()}
+    assert [got[k] for k in range(len(got))] == [1] * len(random_ones) + [0] * len(words)

@@ -363,3 +363,23 @@ def test_op3_secrets_of_letters_only(spark):
     words = ["internationalization", "counterrevolutionaries", "Rechtsschutzversicherungsgesellschaften", "Donaudampfschifffahrtsgesellschaft", "RESPONSIBILITIES", "state-of-the-art-things", "snake_case_function_name", "constitucionalmente"]
     got = {r["doc_id"]: r["n_random"] for r in secrets.scanned(documents(spark, [f"the {x} is" for x in [*random_ones, *words]])).collect()}
     assert [got[k] for k in range(len(got))] == [1] * len(random_ones) + [0] * len(words)
+
+
+def test_op5_evidence_reaches_all_repeats():
+    """On a chain of 30 repeats with one cue, beliefs are those of exact inference."""
+    text = "phone 555-0199. " + " ".join("and 555-0199 too." for _ in range(29))
+    g = personal.graph([text], [personal.base_spans(text)])
+    assert len(g["edges"]) == 29 and g["kind"].all()
+    node, edge = personal.fitted()
+    edge = edge + 3 * np.eye(len(personal.LABELS))  # what is known at one end matters at the other
+    at, _ = personal.marginals(g, node, edge)
+    score = g["x"] @ node
+    phi, psi = np.exp(score - score.max(axis=1, keepdims=True)), np.exp(edge[1])
+    ahead, back = [phi[0]], [np.ones(len(personal.LABELS))]
+    for k in range(1, 30):
+        ahead.append(ahead[-1] @ psi * phi[k])
+        ahead[-1] /= ahead[-1].sum()
+        back.append(psi @ (back[-1] * phi[30 - k]))
+        back[-1] /= back[-1].sum()
+    exact = np.array(ahead) * np.array(back[::-1])
+    assert np.abs(at - exact / exact.sum(axis=1, keepdims=True)).max() < 1e-3

@@ -1,8 +1,10 @@
 """Quality by co-training: one classifier for a text's content and one for its page's metadata.
 
-Both are logistic regressions, fitted on a bounded sample of labelled documents. Over some rounds each of them labels the
-documents of a bounded unlabelled sample that it is sure of, and the other one learns from those as well. Each is then
-calibrated on labelled documents that neither has learned from, and the calibrated views are combined: their log odds
+Both are logistic regressions, fitted on a bounded sample of labelled documents. Over some rounds each of them labels all
+unlabelled documents that it is sure of, and the other one learns from those as well. They stay in Spark: tasks count
+them by metadata (which has few distinct values) and sum the gradient and Hessian of the content's classifier. Those of a
+class weigh together at most as much as the labelled ones of it, or else the mistakes of one view would outvote all labels,
+the more the larger the corpus is. Each is then calibrated on labelled documents that neither has learned from, and the calibrated views are combined: their log odds
 over the base rate add up. Every document is scored, in the tasks that read it.
 """
 
@@ -10,17 +12,19 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barscreen.llm.common import narrow, packed, small_batches, unpacked
+from barscreen.llm.common import narrow, packed, small_batches, unpacked, written
 
-LABELLED, POOL = 4000, 4000  # documents in the samples, at most
+LABELLED = 4000  # documents in the labelled sample, at most
 TEXT_FEATURES, META_FEATURES = 16, 96
-ROUNDS, SURE, ADDED = 4, 0.97, 200  # rounds, least confidence, documents of each class that a view hands over in a round
+LANGS, SOURCES, LENGTHS = 16, 64, 16  # values of the metadata
+ROUNDS, SURE = 4, 0.97  # rounds, least confidence
 
 
 def text_view(text: str | None) -> np.ndarray:
@@ -80,9 +84,14 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 class Logistic:
     """L2 logistic regression on standardised features by Newton steps, and a calibration of its log odds."""
 
-    def fit(self, x: np.ndarray, y: np.ndarray, penalty: float = 1.0) -> Logistic:
-        self.mean, self.scale, self.line = x.mean(axis=0), x.std(axis=0) + 1e-6, (1.0, 0.0)
-        self.w = self._newton(self._ready(x), y, penalty)
+    def __init__(self, mean: np.ndarray, scale: np.ndarray):
+        self.mean, self.scale, self.line = mean, scale + 1e-6, (1.0, 0.0)
+        self.w = np.zeros(len(mean) + 1)
+
+    def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, more: Callable | None = None, penalty: float = 1.0) -> Logistic:
+        """Newton steps from the weights so far; `more` gives the gradient and Hessian of rows that are elsewhere."""
+        self.line = (1.0, 0.0)
+        self.w = self._newton(self._ready(x), y, penalty, weight, more, self.w)
         return self
 
     def calibrate(self, x: np.ndarray, y: np.ndarray) -> Logistic:
@@ -98,22 +107,112 @@ class Logistic:
         return np.column_stack((np.clip((x - self.mean) / self.scale, -8, 8), np.ones(len(x))))
 
     @staticmethod
-    def _newton(x: np.ndarray, y: np.ndarray, penalty: float) -> np.ndarray:
-        w, ridge = np.zeros(x.shape[1]), penalty * np.eye(x.shape[1])
+    def sums(x: np.ndarray, y: np.ndarray, weight: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Gradient and (negative) Hessian of the weighted log likelihood."""
+        p = _sigmoid(x @ w)
+        return x.T @ (weight * (y - p)), (x * (weight * p * (1 - p))[:, None]).T @ x
+
+    @classmethod
+    def _newton(cls, x: np.ndarray, y: np.ndarray, penalty: float, weight: np.ndarray | None = None, more: Callable | None = None, start: np.ndarray | None = None) -> np.ndarray:
+        w, ridge = np.zeros(x.shape[1]) if start is None else start, penalty * np.eye(x.shape[1])
         ridge[-1, -1] = 1e-3
+        weight = np.ones(len(x)) if weight is None else weight
         for _ in range(25):
-            p = _sigmoid(x @ w)
-            step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge, x.T @ (y - p) - ridge @ w)
+            gradient, hessian = cls.sums(x, y, weight, w)
+            if more:
+                other = more(w)
+                gradient, hessian = gradient + other[0], hessian + other[1]
+            step = np.linalg.solve(hessian + ridge, gradient - ridge @ w)
             w = w + step
-            if np.abs(step).max() < 1e-6:
+            if np.abs(step).max() < 1e-5:
                 break
         return w
 
 
+def _meta_rows(combos: np.ndarray) -> np.ndarray:
+    """The metadata features of the numbers that _combo gives."""
+    out, k = np.zeros((len(combos), META_FEATURES)), np.arange(len(combos))
+    out[k, combos // (SOURCES * LENGTHS)] = 1
+    out[k, LANGS + combos // LENGTHS % SOURCES] = 1
+    out[k, LANGS + SOURCES + combos % LENGTHS] = 1
+    return out
+
+
+def _combo(meta: np.ndarray) -> np.ndarray:
+    """One number for the metadata features of each row."""
+    lang, source, length = meta[:, :LANGS].argmax(1), meta[:, LANGS : LANGS + SOURCES].argmax(1), meta[:, LANGS + SOURCES :].argmax(1)
+    return (lang * SOURCES + source) * LENGTHS + length
+
+
+COMBOS = np.arange(LANGS * SOURCES * LENGTHS)
+
+
+class Unlabelled:
+    """All unlabelled documents (x: content features, combo: metadata), summed in the tasks that read them."""
+
+    def __init__(self, df: DataFrame):
+        self.df = df
+
+    def _summed(self, of: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+        """The sum over all batches of of(x, combo), an array of a fixed size; a row a task comes to the driver."""
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total = None
+            for df in batches:
+                if len(df):
+                    made = of(np.array(df["x"].tolist()), df["combo"].to_numpy())
+                    total = made if total is None else total + made
+            if total is not None:
+                yield pd.DataFrame({"s": [total]})
+
+        made = sorted(tuple(r["s"]) for r in self.df.mapInPandas(run, "s array<double>").collect())  # one order for the sum
+        return np.sum(np.array(made), axis=0) if made else np.zeros(0)
+
+    def moments(self) -> np.ndarray:
+        """Number, sums and sums of squares of the content features."""
+        found = self._summed(lambda x, combo: np.concatenate(([len(x)], x.sum(0), (x * x).sum(0))))
+        return found if len(found) else np.zeros(1 + 2 * TEXT_FEATURES)
+
+    def counts(self, model: Logistic | None) -> np.ndarray:
+        """Documents by metadata that the content's classifier is sure are good, or bad; of all documents without one."""
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            found = np.zeros((2, len(COMBOS)), np.int64)
+            for df in batches:
+                if len(df):
+                    p = np.ones(len(df)) if model is None else _sigmoid(model.odds(np.array(df["x"].tolist())))
+                    for k, sure in enumerate((p, 1 - p)):
+                        found[k] += np.bincount(df["combo"].to_numpy()[sure >= SURE], minlength=len(COMBOS))
+            some = np.flatnonzero(found.any(0))
+            yield pd.DataFrame({"combo": some, "good": found[0][some], "bad": found[1][some]})
+
+        out = np.zeros((2, len(COMBOS)))
+        made = self.df.mapInPandas(run, "combo bigint, good bigint, bad bigint").groupBy("combo").agg(F.sum("good"), F.sum("bad"))
+        for combo, good, bad in made.collect():  # a row for each metadata value, 16,384 at most
+            out[:, combo] = good, bad
+        return out
+
+    def sums(self, model: Logistic, w: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Gradient and Hessian over the documents whose metadata has a weight."""
+
+        def of(x: np.ndarray, combo: np.ndarray) -> np.ndarray:
+            some = weight[combo] > 0
+            g, h = Logistic.sums(model._ready(x[some]), label[combo[some]], weight[combo[some]], w)
+            return np.concatenate((g, h.ravel()))
+
+        made, n = self._summed(of), len(w)
+        return made[:n], made[n:].reshape(n, n)
+
+
+def _deviations(n: float, sums: np.ndarray, squares: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    mean = sums / n
+    return mean, np.sqrt(np.maximum(squares / n - mean * mean, 0))
+
+
 class CoTrained:
     """Both views' calibrated classifiers and the base rate."""
 
-    def __init__(self, sample: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple[np.ndarray, np.ndarray]):
+    def __init__(self, sample: tuple[np.ndarray, np.ndarray], y: np.ndarray, free: Unlabelled):
         self.base = 0.0
         self.models: list[Logistic] = []
         if len(set(y.tolist())) < 2:
@@ -122,20 +221,34 @@ class CoTrained:
         if len(set(y[held].tolist())) < 2 or len(set(y[~held].tolist())) < 2:
             held = np.ones(len(y), bool)
         learn = ~held if not held.all() else held
-        known = [(sample[v][learn], y[learn].astype(float)) for v in (0, 1)]
-        free = [np.ones(len(pool[0]), bool) for _ in (0, 1)]
-        for k in range(ROUNDS + 1):
-            self.models = [Logistic().fit(*known[v]).calibrate(sample[v][held], y[held]) for v in (0, 1)]
-            if k == ROUNDS or not len(pool[0]):
-                break
-            for v in (0, 1):
-                p = _sigmoid(self.models[v].odds(pool[v]))
-                for sure, label in ((p, 1.0), (1 - p, 0.0)):
-                    ready = np.flatnonzero(free[v] & (sure >= SURE))
-                    best = ready[np.argsort(-sure[ready], kind="stable")][:ADDED]
-                    free[v][best] = False
-                    x, z = known[1 - v]
-                    known[1 - v] = (np.vstack((x, pool[1 - v][best])), np.concatenate((z, np.full(len(best), label))))
+        (text, meta), z = (v[learn] for v in sample), y[learn].astype(float)
+        n, s, q = np.split(free.moments(), (1, 1 + TEXT_FEATURES))
+        content = Logistic(*_deviations(n[0] + len(text), s + text.sum(0), q + (text * text).sum(0))).fit(text, z)
+        page = Logistic(meta.mean(0), meta.std(0)).fit(meta, z)
+        everywhere = free.counts(None)[0]  # documents by metadata
+        rows = _meta_rows(COMBOS)
+        labelled = np.array([z.sum(), len(z) - z.sum()])
+
+        def calibrated() -> list[Logistic]:
+            return [m.calibrate(v[held], y[held]) for m, v in zip((content, page), sample, strict=True)]
+
+        self.models = calibrated()
+        for _ in range(ROUNDS if n[0] else 0):
+            sure = free.counts(content)  # good and bad by content
+            p = _sigmoid(page.odds(rows))
+            label = np.where(p >= SURE, 1.0, 0.0)
+            told = np.array([(p >= SURE) * everywhere, (1 - p >= SURE) * everywhere])  # by metadata
+            share = [np.minimum(1, labelled / np.maximum(1, c.sum(1))) for c in (sure, told)]
+            weight = np.where(p >= SURE, share[1][0], np.where(1 - p >= SURE, share[1][1], 0.0))
+
+            good, bad = (np.flatnonzero(c) for c in sure)
+            x = np.vstack((meta, rows[good], rows[bad]))
+            t = np.concatenate((z, np.ones(len(good)), np.zeros(len(bad))))
+            u = np.concatenate((np.ones(len(z)), share[0][0] * sure[0][good], share[0][1] * sure[1][bad]))
+            mean, scale = _deviations(u.sum(), u @ x, u @ (x * x))
+            page = Logistic(mean, scale).fit(x, t, u)
+            content.fit(text, z, more=(lambda w, label=label, weight=weight: free.sums(content, w, label, weight)) if told.any() else None)
+            self.models = calibrated()
         rate = y.mean()
         self.base = float(np.log(rate / (1 - rate)))
 
@@ -147,37 +260,36 @@ class CoTrained:
         return np.column_stack([_sigmoid(odds[0]), _sigmoid(odds[1]), _sigmoid(odds[0] + odds[1] - self.base)])
 
 
-def fitted(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> CoTrained:
-    """Fit on the documents whose hashed doc_id is smallest: `labelled` with a label, and `pool` without."""
+def fitted(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> CoTrained:
+    """Fit on the `labelled` documents with a label whose hashed doc_id is smallest, and on all without one.
+
+    Of rows that share a doc_id, the one with the least features counts.
+    """
     small_batches(docs.sparkSession)
     known = narrow(labels, "doc_id", "quality").filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     texts = narrow(docs, "doc_id", "text", "lang", "source", "n_chars").filter("doc_id is not null")
-    order = F.xxhash64("doc_id", F.lit(3))
-    ids = texts.select("doc_id").distinct()
-    with_label = ids.join(known, "doc_id").orderBy(order, "doc_id").limit(labelled)
-    without = ids.join(known.select("doc_id"), "doc_id", "left_anti").orderBy(order, "doc_id").limit(pool).withColumn("quality", F.lit(None).cast("int"))
-    chosen = texts.join(F.broadcast(with_label.unionByName(without)), "doc_id")  # labelled + pool rows at most
 
-    @F.pandas_udf("array<double>")
-    def both(text: pd.Series, lang: pd.Series, source: pd.Series, n_chars: pd.Series) -> pd.Series:
-        return pd.Series(list(np.column_stack(views(text, lang, source, n_chars))))
+    @F.pandas_udf("struct<x: array<double>, combo: int>")
+    def both(text: pd.Series, lang: pd.Series, source: pd.Series, n_chars: pd.Series) -> pd.DataFrame:
+        a, b = views(text, lang, source, n_chars)
+        return pd.DataFrame({"x": pd.Series(list(a), dtype=object), "combo": _combo(b).astype(np.int32)})
 
-    made = chosen.select("doc_id", "quality", both("text", "lang", "source", "n_chars").alias("x")).toPandas()
-    made = made.drop_duplicates("doc_id").sort_values("doc_id")
-    x = np.array(made["x"].tolist()).reshape(-1, TEXT_FEATURES + META_FEATURES)
-    split = lambda rows: (x[rows, :TEXT_FEATURES], x[rows, TEXT_FEATURES:])
-    has = made["quality"].notna().to_numpy()
-    return CoTrained(split(has), made["quality"].to_numpy(float)[has] >= 1, split(~has))
+    one = texts.select("doc_id", both("text", "lang", "source", "n_chars").alias("v")).groupBy("doc_id").agg(F.min("v").alias("v"))
+    made = written(one.join(known, "doc_id", "left").select("doc_id", "v.*", "quality"), "views")
+    sample = made.filter("quality is not null").orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(labelled).toPandas().sort_values("doc_id")
+    x = np.array(sample["x"].tolist()).reshape(-1, TEXT_FEATURES)
+    free = Unlabelled(made.filter("quality is null").select("x", "combo"))
+    return CoTrained((x, _meta_rows(sample["combo"].to_numpy(int))), sample["quality"].to_numpy(float) >= 1, free)
 
 
-def scored(docs: DataFrame, labels: DataFrame, keep: float = 0.5, labelled: int = LABELLED, pool: int = POOL) -> DataFrame:
+def scored(docs: DataFrame, labels: DataFrame, keep: float = 0.5, labelled: int = LABELLED) -> DataFrame:
     """docs with `text_score`, `meta_score`, `score` (the probability of good quality) and `keep` (score >= keep).
 
     docs: (doc_id, text, lang, source, n_chars and any others, but for those that are added); labels: (doc_id, quality), 1 for good. A document with
     several labels takes the lowest. Null or empty texts and null metadata have features of their own. Without labels
     of both kinds all scores are 1. Rows keep their number; the model doesn't depend on their order.
     """
-    model = fitted(docs, labels, labelled, pool)
+    model = fitted(docs, labels, labelled)
 
     @F.pandas_udf("struct<text_score: double, meta_score: double, score: double>")
     def score(text: pd.Series, lang: pd.Series, source: pd.Series, n_chars: pd.Series) -> pd.DataFrame:

@@ -383,3 +383,28 @@ def test_op5_evidence_reaches_all_repeats():
         back[-1] /= back[-1].sum()
     exact = np.array(ahead) * np.array(back[::-1])
     assert np.abs(at - exact / exact.sum(axis=1, keepdims=True)).max() < 1e-3
+
+
+def test_op8_all_unlabelled_documents_take_part(spark, monkeypatch):
+    r, rows = random.Random(9), []
+    for i in range(6000):
+        bad = i % 3 == 0
+        text = " ".join([r.choice(WORDS)] * 12) if bad else prose(i, 12)
+        rows.append((i, text, "en", ("bad" if bad else "good") if i >= 300 else "seen", 70, "w", "k", "r", 1))
+    rows += [(5, "z " * 40, "en", "seen", 70, "w", "k", "r", 1)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    known = spark.createDataFrame([(i, int(i % 3 != 0), 0) for i in range(300)], "doc_id bigint, quality int, toxic int")
+    handed, plain = [], quality.Unlabelled.counts
+
+    def counts(self, model):
+        handed.append(plain(self, model))
+        return handed[-1]
+
+    monkeypatch.setattr(quality.Unlabelled, "counts", counts)
+    model = quality.fitted(docs, known)
+    assert handed[0].sum() == 5700 and all(c.sum() >= 0.9 * 5700 for c in handed[1:])  # far more than 200 of a class
+    page = model.models[1]
+    by_source = [(page._ready(quality.meta_view("en", s, 70)[None]) @ page.w)[0] for s in ("good", "bad")]
+    assert by_source[0] > 1 and by_source[1] < -1  # sources that no label has seen
+    again = quality.fitted(docs.repartition(7, "text"), known)
+    assert all(np.allclose(a.w, b.w, atol=1e-6) for a, b in zip(model.models, again.models, strict=True))

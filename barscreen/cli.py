@@ -21,6 +21,7 @@ ROLLING = (30, 90, 365, 1095)
 
 
 def parser() -> argparse.ArgumentParser:
+    """The subcommands, their flags and defaults, by which callers know this command line."""
     day = dt.date.fromisoformat
     p = argparse.ArgumentParser(prog="barscreen", description=__doc__)
     p.add_argument("--config")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from barscreen.config import Actions
 
 FAR_PAST, FAR_FUTURE = "1990-01-01", "2999-12-31"
+# Fixed value: the reason as it is stored.
 MISMATCH = "corporate action ratio disagrees with price gap"
 
 

@@ -1,8 +1,8 @@
 """The slot ledger and what is told about it.
 
 Which candidates get a slot depends on all that came before, across symbols: the ledger is a sequential fold over dates.
-Its input is bounded (a basket of candidates a date), so one group runs it beside the data, in applyInPandas; statistics
-of trades and curves are aggregations again.
+A backtest's input is bounded (a basket of candidates a date), so its group runs beside the data, in applyInPandas, and
+many backtests are many groups; statistics of trades and curves are aggregations again.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections import defaultdict
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from barscreen.config import Costs
@@ -72,37 +72,50 @@ def fold_slots(candidates: pd.DataFrame, slots: int, capital: float, costs: Cost
     return trades, curve
 
 
-def ledger(candidates: DataFrame, slots: int, capital: float, costs: Costs, buy_charge_once: bool = False) -> DataFrame:
-    """Trades and curve points of the slot portfolio in one table; `trades_of` and `curve_of` take it apart."""
+def ledger(candidates: DataFrame, slots: int, capital: float, costs: Costs, buy_charge_once: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
+    """Trades and curve points of slot portfolios in one table; `trades_of` and `curve_of` take it apart.
+
+    Each value of the columns `by` (a preset, a rule set, a first year) is a portfolio of its own, with all of its
+    candidates in one group: many backtests are dealt out over the tasks, and one has a basket a date.
+    """
     columns = [c.split()[0] for c in LEDGER.split(", ")]
 
-    def run(df: pd.DataFrame) -> pd.DataFrame:
-        trades, curve = fold_slots(df, slots, capital, costs, buy_charge_once)
+    def run(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
+        trades, curve = fold_slots(df[list(CANDIDATES)], slots, capital, costs, buy_charge_once)
         rows = [{"kind": "trade", **t} for t in trades] + [{"kind": "point", **c} for c in curve]
-        return pd.DataFrame(rows, columns=columns).astype({"open_positions": "Int32", "hold_days": "Int32"})
+        made = pd.DataFrame(rows, columns=columns).astype({"open_positions": "Int32", "hold_days": "Int32"})
+        for name, value in reversed(list(zip(by, key, strict=False))):
+            made.insert(0, name, value)
+        return made
+
+    own = [f"{f.name} {f.dataType.simpleString()}" for f in candidates.select(*by).schema.fields] if by else []
+    keyed = candidates.select(*by, *CANDIDATES) if by else candidates.select(*CANDIDATES, F.lit(1).alias("_all"))
+    return keyed.groupBy(*(by or ("_all",))).applyInPandas(run, ", ".join([*own, LEDGER]))
 
-    return candidates.select(*CANDIDATES, F.lit(1).alias("_all")).groupBy("_all").applyInPandas(run, LEDGER)
 
+def trades_of(book: DataFrame, *by: str) -> DataFrame:
+    return book.filter("kind = 'trade'").select(*by, *[c.split()[0] for c in TRADES.split(", ")])
 
-def trades_of(book: DataFrame) -> DataFrame:
-    return book.filter("kind = 'trade'").select(*[c.split()[0] for c in TRADES.split(", ")])
 
+def curve_of(book: DataFrame, *by: str) -> DataFrame:
+    return book.filter("kind = 'point'").select(*by, "date", "equity", "open_positions")
 
-def curve_of(book: DataFrame) -> DataFrame:
-    return book.filter("kind = 'point'").select("date", "equity", "open_positions")
+
+def _curve_window(by: tuple[str, ...]) -> WindowSpec:
+    return Window.partitionBy(*(by or (F.lit(1),)))
 
 
 def drawdowns(curve: DataFrame, *by: str) -> DataFrame:
     """curve with `drawdown`, from the highest point so far (within `by`)."""
-    peak = F.max("equity").over(Window.partitionBy(*(by or (F.lit(1),))).orderBy("date").rowsBetween(Window.unboundedPreceding, 0))
+    peak = F.max("equity").over(_curve_window(by).orderBy("date").rowsBetween(Window.unboundedPreceding, 0))
     return curve.withColumn("drawdown", F.col("equity") / peak - 1)
 
 
-def statistics(trades: DataFrame, curve: DataFrame, capital: float) -> DataFrame:
-    """One row of figures; without a trade, `trades` is 0 and the rest null."""
+def statistics(trades: DataFrame, curve: DataFrame, capital: float, *by: str) -> DataFrame:
+    """A row of figures for each backtest (`by`); without any and without a trade, `trades` is 0 and the rest null."""
     net, count = F.col("net_return"), F.count("*")
     win, loss = (F.avg(F.when(c, net)) for c in (net > 0, net <= 0))
-    t = trades.agg(
+    t = trades.groupBy(*by).agg(
         count.alias("trades"),
         F.avg("gross_return").alias("mean_gross_return"),
         F.percentile("net_return", 0.5).alias("median_net_return"),
@@ -114,8 +127,8 @@ def statistics(trades: DataFrame, curve: DataFrame, capital: float) -> DataFrame
         (F.sum("cost_basis") + F.sum("exit_value")).alias("_traded"),
         (F.sum("buy_cost") + F.sum("sell_cost")).alias("total_costs"),
     )
-    c = drawdowns(curve).agg(F.max_by("equity", "date").alias("_final"), F.min("drawdown").alias("max_drawdown"), F.datediff(F.max("date"), F.min("date")).alias("_days"))
-    both = t.join(c, F.lit(True), "left").withColumn("years", F.when(F.col("_days") == 0, 1).otherwise(F.col("_days")) / 365.25)
+    c = drawdowns(curve, *by).groupBy(*by).agg(F.max_by("equity", "date").alias("_final"), F.min("drawdown").alias("max_drawdown"), F.datediff(F.max("date"), F.min("date")).alias("_days"))
+    both = (t.join(c, list(by), "left") if by else t.join(c, F.lit(True), "left")).withColumn("years", F.when(F.col("_days") == 0, 1).otherwise(F.col("_days")) / 365.25)
     some = F.col("trades") > 0
     figures = {
         "total_return_net": F.col("_final") / capital - 1,
@@ -135,7 +148,7 @@ def statistics(trades: DataFrame, curve: DataFrame, capital: float) -> DataFrame
         "cost_drag_per_trade": F.col("total_costs") / F.nullif(F.col("trades"), F.lit(0)),
         "years": F.col("years"),
     }
-    return both.select("trades", *[F.when(some, v).alias(k) for k, v in figures.items()])
+    return both.select(*by, "trades", *[F.when(some, v).alias(k) for k, v in figures.items()])
 
 
 def exit_breakdown(trades: DataFrame) -> DataFrame:
@@ -145,19 +158,22 @@ def exit_breakdown(trades: DataFrame) -> DataFrame:
     return found.orderBy(F.col("trades").desc(), "exit_reason")
 
 
-def yearly_returns(curve: DataFrame) -> DataFrame:
-    """By calendar year: last over first equity of the year, drawdown within it, points."""
-    by_year = drawdowns(curve.withColumn("year", F.year("date")), "year")
+def yearly_returns(curve: DataFrame, *by: str) -> DataFrame:
+    """By curve and calendar year: last over first equity of the year, drawdown within it, points."""
+    by_year = drawdowns(curve.withColumn("year", F.year("date")), *by, "year")
     ends = F.max_by("equity", "date") / F.min_by("equity", "date") - 1
-    return by_year.groupBy("year").agg(ends.alias("return"), F.min("drawdown").alias("max_drawdown"), F.count("*").alias("trading_days"))
+    return by_year.groupBy(*by, "year").agg(ends.alias("return"), F.min("drawdown").alias("max_drawdown"), F.count("*").alias("trading_days"))
+
 
+def rolling_returns(curve: DataFrame, window_days: int = 365, *by: str) -> DataFrame:
+    """(*by, date, return): from each point to the first one at least window_days later; points without one are left out.
 
-def rolling_returns(curve: DataFrame, window_days: int = 365) -> DataFrame:
-    """(date, return): from each point to the first one at least window_days later; points without one are left out."""
+    Curves (`by`) are dealt out; a single one has a point a session, so it is some ten thousand rows at most.
+    """
     days = curve.withColumn("_day", F.unix_date("date"))
-    later = Window.partitionBy(F.lit(1)).orderBy("_day").rangeBetween(window_days, Window.unboundedFollowing)
+    later = _curve_window(by).orderBy("_day").rangeBetween(window_days, Window.unboundedFollowing)
     found = days.withColumn("_then", F.first("equity").over(later)).filter("_then is not null")
-    return found.select("date", (F.col("_then") / F.col("equity") - 1).alias("return"))
+    return found.select(*by, "date", (F.col("_then") / F.col("equity") - 1).alias("return"))
 
 
 def distribution(returns: DataFrame, *by: str) -> DataFrame:

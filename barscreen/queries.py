@@ -14,7 +14,7 @@ from barscreen.functions import costs as charges
 from barscreen.functions import text
 from barscreen.operators import adjust, portfolio, recursive, screen, windows
 from barscreen.plans import backtest, report
-from barscreen.sources import calendar, proxy
+from barscreen.sources import calendar, files, proxy
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -457,7 +457,12 @@ def exit_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _book(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return proxy.kept(spark, sf_dir, "book", lambda: portfolio.ledger(_candidates(spark, sf_dir), config().portfolio.slots, config().portfolio.capital, config().costs))
+    p = config().portfolio
+
+    def build() -> DataFrame:
+        return portfolio.ledger(_candidates(spark, sf_dir), p.slots, p.capital, config().costs)
+
+    return proxy.kept(spark, sf_dir, "book", build)
 
 
 @query()
@@ -477,37 +482,75 @@ def portfolio_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first symbol's closes as an equity curve."""
-    bars = proxy.bars(spark, sf_dir)
-    first = bars.agg(F.min("symbol")).first()[0]
-    return bars.filter(F.col("symbol") == first).select(F.col("trade_date").alias("date"), F.col("close").alias("equity"))
+    """Every symbol's closes as an equity curve of its own."""
+    return proxy.bars(spark, sf_dir).select("symbol", F.col("trade_date").alias("date"), F.col("close").alias("equity"))
 
 
-_CURVE = f"{proxy.BARS}, curve AS (SELECT trade_date AS date, close AS equity FROM bars WHERE symbol = (SELECT min(symbol) FROM bars))"
+_CURVE = f"{proxy.BARS}, curve AS (SELECT symbol, trade_date AS date, close AS equity FROM bars)"
 
 
 @query(
-    f"""WITH {_CURVE}, d AS (SELECT *, year(date) AS y, equity / max(equity) OVER (PARTITION BY year(date) ORDER BY date) - 1 AS dd FROM curve)
-    SELECT CAST(y AS INTEGER) AS year, round(max_by(equity, date) / min_by(equity, date) - 1, 6) AS return, round(min(dd), 6) AS max_drawdown, count(*) AS trading_days FROM d GROUP BY y"""
+    f"""WITH {_CURVE}, d AS (SELECT *, year(date) AS y, equity / max(equity) OVER (PARTITION BY symbol, year(date) ORDER BY date) - 1 AS dd FROM curve)
+    SELECT symbol, CAST(y AS INTEGER) AS year, round(max_by(equity, date) / min_by(equity, date) - 1, 6) AS return, round(min(dd), 6) AS max_drawdown, count(*) AS trading_days FROM d GROUP BY symbol, y"""
 )
 def yearly_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(portfolio.yearly_returns(_curve(spark, sf_dir)))
+    return rounded(portfolio.yearly_returns(_curve(spark, sf_dir), "symbol"))
 
 
-_ROLLED = f"{_CURVE}, rolled AS (SELECT a.date, (SELECT min_by(b.equity, b.date) FROM curve b WHERE b.date >= a.date + INTERVAL 365 DAY) / a.equity - 1 AS r FROM curve a)"
+_ROLLED = f"""{_CURVE}, rolled AS (SELECT a.symbol, a.date, b.equity / a.equity - 1 AS r
+    FROM curve a ASOF JOIN curve b ON a.symbol = b.symbol AND a.date + INTERVAL 365 DAY <= b.date)"""
 
 
-@query(f"WITH {_ROLLED} SELECT date, round(r, 6) AS return FROM rolled WHERE r IS NOT NULL")
+@query(f"WITH {_ROLLED} SELECT symbol, date, round(r, 6) AS return FROM rolled WHERE r IS NOT NULL")
 def rolling_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(portfolio.rolling_returns(_curve(spark, sf_dir), 365))
+    return rounded(portfolio.rolling_returns(_curve(spark, sf_dir), 365, "symbol"))
 
 
 @query(
-    f"""WITH {_ROLLED} SELECT count(*) AS windows, round(min(r), 6) AS worst, round(quantile_cont(r, 0.1), 6) AS p10, round(median(r), 6) AS median, round(avg(r), 6) AS mean,
-    round(quantile_cont(r, 0.9), 6) AS p90, round(max(r), 6) AS best, round(avg(CASE WHEN r > 0 THEN 1e0 ELSE 0e0 END), 6) AS share_positive FROM rolled WHERE r IS NOT NULL"""
+    f"""WITH {_ROLLED} SELECT symbol, count(*) AS windows, round(min(r), 6) AS worst, round(quantile_cont(r, 0.1), 6) AS p10, round(median(r), 6) AS median, round(avg(r), 6) AS mean,
+    round(quantile_cont(r, 0.9), 6) AS p90, round(max(r), 6) AS best, round(avg(CASE WHEN r > 0 THEN 1e0 ELSE 0e0 END), 6) AS share_positive FROM rolled WHERE r IS NOT NULL GROUP BY symbol"""
 )
 def distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(portfolio.distribution(portfolio.rolling_returns(_curve(spark, sf_dir), 365)))
+    return rounded(portfolio.distribution(portfolio.rolling_returns(_curve(spark, sf_dir), 365, "symbol"), "symbol"))
+
+
+# ---- files of both layouts ---------------------------------------------------------------------------------------
+
+#: A whole row, a blank close, a row that ends before its close, another series, an excluded name, another instrument.
+UDIFF_LINES = (
+    "TradDt,TckrSymb,SctySrs,FinInstrmTp,ISIN,OpnPric,HghPric,LwPric,ClsPric,PrvsClsgPric,TtlTradgVol,TtlTrfVal,TtlNbOfTxsExctd",
+    "2024-03-01,AAA,EQ,STK,IN1,10,11,9,10.5,10,1000,10500.5,12", "2024-03-01,BBB,EQ,STK,IN2,20,-,19,, ,2000,41000,", "2024-03-01,CCC,EQ,STK,IN3,1,2,1", "2024-03-01,DDD,BE,STK,IN4,1,1,1,1,1,1,1,1",
+    "2024-03-01,EEE-RE,EQ,STK,IN5,1,1,1,1,1,1,1,1", "2024-03-01,FFF,EQ,IDX,IN6,1,1,1,1,1,1,1,1",
+)
+LEGACY_LINES = (
+    "SYMBOL,SERIES,OPEN,HIGH,LOW,CLOSE,LAST,PREVCLOSE,TOTTRDQTY,TOTTRDVAL,TIMESTAMP,TOTALTRADES,ISIN,",
+    "AAA,EQ,10,11,9,10.5,10.4,10,1000,10500.5,01-MAR-2024,12,IN1,", "BBB,EQ,20,-,19,,20,,2000,41000,01-Mar-24,,,", "CCC,EQ,1,2", "EEE-RE,EQ,1,1,1,1,1,1,1,1,01-MAR-2024,1,IN5,", "GGG,SM,1,1,1,1,1,1,1,1,01-MAR-2024,1,IN7,",
+)
+
+
+def _fields(lines: tuple[str, ...], columns: dict[str, str], layout: str, day: str, short: str) -> str:
+    """SQL that reads the lines by the places of their columns; the universe is series EQ, instrument STK, no -RE names."""
+    places = {n.strip(): k + 1 for k, n in enumerate(lines[0].split(","))}
+    f = lambda c: f"nullif(trim(f[{places[columns[c]]}]), '')"
+    numbers = ", ".join(f"TRY_CAST({f(c)} AS DOUBLE) AS {c}" for c in ("open", "high", "low", "close", "prev_close", "turnover"))
+    wholes = ", ".join(f"CAST(TRY_CAST({f(c)} AS DOUBLE) AS BIGINT) AS {c}" for c in ("volume", "trades"))
+    kind = f" AND f[{places['FinInstrmTp']}] = 'STK'" if "FinInstrmTp" in places else ""
+    return f"""SELECT '{layout}' AS layout, {f('symbol')} AS symbol, CAST({day.format(f('trade_date'))} AS DATE) AS trade_date, {f('isin')} AS isin, {f('series')} AS series, {numbers}, {wholes}
+        FROM (SELECT string_split(line, ',') AS f FROM (VALUES {', '.join(f"('{x}')" for x in lines[1:])}) AS v(line)) AS x
+        WHERE len(f) >= {places[short]} AND {f('series')} = 'EQ' AND NOT regexp_matches({f('symbol')}, '-RE[0-9]*$'){kind}"""
+
+
+@query(
+    f"""{_fields(UDIFF_LINES, files.UDIFF, 'udiff', '{}', 'ClsPric')} UNION ALL
+    {_fields(LEGACY_LINES, files.LEGACY, 'legacy', "CASE WHEN length({0}) = 11 THEN try_strptime({0}, '%d-%b-%Y') ELSE try_strptime({0}, '%d-%b-%y') END", 'CLOSE')}"""
+)
+def bar_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both layouts out of literal lines: short rows go, blank closes stay."""
+    made = []
+    for layout, lines in (("udiff", UDIFF_LINES), ("legacy", LEGACY_LINES)):
+        texts = spark.createDataFrame([("\n".join(lines),)], "text string")
+        made.append(files.bars_from(files.rows_of(texts), layout, config().universe).withColumn("layout", F.lit(layout)))
+    return made[0].unionByName(made[1])
 
 
 # ---- text functions ----------------------------------------------------------------------------------------------
@@ -556,18 +599,18 @@ def parse_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
 DATES = ("02-JAN-2015", "13-Jul-20", "2020/07/13", "31-DEC-99", "")
 
 
-@query(f"SELECT raw, CAST(CASE WHEN length(raw) = 11 THEN try_strptime(raw, '%d-%b-%Y') ELSE try_strptime(raw, '%d-%b-%y') END AS DATE) AS parsed FROM (VALUES {_literal(DATES[:3])}) AS v(raw)")
+@query(f"SELECT raw, CAST(CASE WHEN length(raw) = 11 THEN try_strptime(raw, '%d-%b-%Y') ELSE try_strptime(raw, '%d-%b-%y') END AS DATE) AS parsed FROM (VALUES {_literal(DATES)}) AS v(raw)")
 def legacy_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(d,) for d in DATES[:3]], "raw string").withColumn("parsed", text.bar_date(F.col("raw")))
+    return spark.createDataFrame([(d,) for d in DATES], "raw string").withColumn("parsed", text.bar_date(F.col("raw")))
 
 
-NUMBERS = ("12.5", " 7 ", "-", "", "abc", "1e3", "-2.75")
+NUMBERS = ("12.5", " 7 ", "-", "", "abc", "1e3", "-2.75", "-1")
 
 
-@query(f"SELECT raw, TRY_CAST(nullif(trim(raw), '') AS DOUBLE) AS value, coalesce(CAST(trunc(TRY_CAST(nullif(trim(raw), '') AS DOUBLE)) AS BIGINT), -1) AS whole FROM (VALUES {_literal(NUMBERS)}) AS v(raw)")
+@query(f"SELECT raw, TRY_CAST(nullif(trim(raw), '') AS DOUBLE) AS value, CAST(trunc(TRY_CAST(nullif(trim(raw), '') AS DOUBLE)) AS BIGINT) AS whole FROM (VALUES {_literal(NUMBERS)}) AS v(raw)")
 def parsed_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = spark.createDataFrame([(n,) for n in NUMBERS], "raw string")
-    return raw.select("raw", text.number(F.col("raw")).alias("value"), F.coalesce(text.whole(F.col("raw")), F.lit(-1)).alias("whole"))
+    return raw.select("raw", text.number(F.col("raw")).alias("value"), text.whole(F.col("raw")).alias("whole"))
 
 
 @query("SELECT CAST(d AS DATE) AS day FROM generate_series(DATE '2024-01-01', DATE '2024-12-31', INTERVAL 1 DAY) AS t(d) WHERE isodow(d) < 6")

@@ -46,28 +46,32 @@ def unzipped(content: bytes) -> str:
 def csv_texts(spark: SparkSession, path: str) -> DataFrame:
     """(path, text) of CSV files and zipped CSV files; Spark's CSV reader opens no archives."""
     unzip = F.udf(lambda content: unzipped(bytes(content)), "string")
-    content = F.when(F.lower("path").endswith(".zip"), unzip("content")).otherwise(F.decode("content", "utf-8"))
-    return spark.read.format("binaryFile").load(path).select("path", content.alias("text"))
+    landed, zipped = spark.read.format("binaryFile").load(path), F.lower("path").endswith(".zip")
+    plain = landed.filter(~zipped).select("path", F.decode("content", "utf-8").alias("text"))
+    return plain.union(landed.filter(zipped).select("path", unzip("content").alias("text")))
 
 
-def _zipped_rows(spark: SparkSession, path: str) -> DataFrame:
-    lines = csv_texts(spark, path).select(F.split("text", "\r?\n").alias("lines"))
+FIELDS = "_fields"  # how many fields a row's line has
+LINE_BREAK = "\r?\n"
+OUTSIDE_QUOTES = LINE_BREAK + '(?=(?:[^"]*"[^"]*")*[^"]*$)'
+
+
+def rows_of(texts: DataFrame) -> DataFrame:
+    """Rows of files (text) with one header: all columns as text in its order, blanks around its names left out, and FIELDS; empty lines go.
+
+    A daily file is small and is one row until its lines are split: a blank field and one that its line doesn't have are
+    both null to Spark's reader, and only the second one makes a row too short.
+    """
+    lines = texts.select(F.when(F.contains("text", F.lit('"')), F.split("text", OUTSIDE_QUOTES)).otherwise(F.split("text", LINE_BREAK)).alias("lines"))
     first = lines.select(F.get("lines", F.lit(0))).first()
     if first is None or not (first[0] or "").strip():
         raise ParseError("the file is empty")
-    names = [c.strip() or f"_blank{k}" for k, c in enumerate(first[0].split(","))]
+    header = first[0].removeprefix("\ufeff").split(",")
+    names = [c.strip().strip('"').strip() or f"_blank{k}" for k, c in enumerate(header)]
     schema = ", ".join(f"`{n}` string" for n in names)
     body = lines.select(F.explode(F.slice("lines", F.lit(2), F.greatest(F.size("lines") - 1, F.lit(0)))).alias("line")).filter(F.trim("line") != "")
-    return body.select(F.from_csv("line", schema).alias("r")).select("r.*")
-
-
-def csv_rows(spark: SparkSession, path: str) -> DataFrame:
-    """All columns as text, headers without blanks around them; rows without any value and columns without a name are left out."""
-    rows = _zipped_rows(spark, path) if path.lower().endswith(".zip") else spark.read.option("header", True).csv(path)
-    if not rows.columns:
-        raise ParseError("the file is empty")
-    named = rows.toDF(*[c.strip() or f"_blank{k}" for k, c in enumerate(rows.columns)])
-    return named.select(*[F.col(f"`{c}`") for c in named.columns if not c.startswith(("_blank", "_c"))]).dropna("all")
+    fields = F.size(F.split(F.regexp_replace("line", '"[^"]*"', ""), ",", -1))
+    return body.select(F.from_csv("line", schema, {"multiLine": "true"}).alias("r"), fields.alias(FIELDS)).select("r.*", FIELDS)
 
 
 def in_universe(rows: DataFrame, universe: Universe, series: str, symbol: str, instrument: str | None) -> DataFrame:
@@ -80,7 +84,10 @@ def in_universe(rows: DataFrame, universe: Universe, series: str, symbol: str, i
 
 
 def bars_from(rows: DataFrame, layout: str, universe: Universe) -> DataFrame:
-    """Bars of the PRICES schema out of a layout's text columns."""
+    """Bars of the PRICES schema out of a layout's text columns.
+
+    Rows that end before their close are left out; a blank close is a bar without a close, which keeps its session.
+    """
     if layout not in LAYOUTS:
         raise ParseError(f"there is no layout {layout!r}")
     columns, optional, instrument = LAYOUTS[layout]
@@ -95,13 +102,15 @@ def bars_from(rows: DataFrame, layout: str, universe: Universe) -> DataFrame:
     made = {"symbol": F.trim(column("symbol")), "trade_date": day, "isin": F.nullif(F.trim(column("isin")), F.lit("")), "series": F.trim(column("series"))}
     made |= {c: text.number(column(c)) for c in ("open", "high", "low", "close", "prev_close")}
     made |= {"volume": text.whole(column("volume")), "turnover": text.number(column("turnover")), "trades": text.whole(column("trades"))}
-    whole_rows = in_universe(rows, universe, columns["series"], columns["symbol"], instrument).filter(F.col(columns["close"]).isNotNull())
-    return whole_rows.select(*[c.alias(k) for k, c in made.items()])
+    kept = in_universe(rows, universe, columns["series"], columns["symbol"], instrument)
+    if FIELDS in rows.columns:
+        kept = kept.filter(F.col(FIELDS) > rows.columns.index(columns["close"]))
+    return kept.select(*[c.alias(k) for k, c in made.items()])
 
 
 def read_bars(spark: SparkSession, path: str, layout: str, universe: Universe, expected: dt.date | None = None) -> DataFrame:
     """A session's bars; raises ParseError if none are left, if a date can't be read, or if a row is of another day than expected."""
-    bars = bars_from(csv_rows(spark, path), layout, universe)
+    bars = bars_from(rows_of(csv_texts(spark, path)), layout, universe)
     found = bars.agg(F.count("*").alias("n"), F.count("trade_date").alias("dated"), F.collect_set("trade_date").alias("days")).first()
     if not found["n"]:
         raise ParseError(f"{layout}: no rows are left in the universe")

@@ -248,4 +248,4 @@ def test_packed_subjects_multiply(spark):
     df = spark.createDataFrame([(s,) for s in subjects], "s string").withColumn("t", text.classify(F.col("s")))
     got = df.select("t", text.action_factor(F.col("s"), F.col("t")).alias("f"), text.factor_note(F.col("s"), F.col("t")).alias("n")).collect()
     assert [r["f"] for r in got] == [4.0, 10.0, 10.0, 3.0, None, None]
-    assert got[0]["t"] == "bonus+split" and got[4]["n"] == "could not parse bonus ratio" and got[5]["t"] == "ignored"
+    assert got[0]["t"] == "bonus+split" and got[4]["n"] == "no readable ratio: bonus" and got[5]["t"] == "ignored"

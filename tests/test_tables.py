@@ -65,6 +65,13 @@ def test_zipped_files_and_doubtful_sessions(spark, tmp_path):
         read_bars(spark, str(tmp_path / "m.csv"), "other", Universe())
 
 
+def test_blank_closes_stay_and_short_rows_go(spark, tmp_path):
+    rows = ("2024-03-01,AAA,EQ,STK,IN1,10,11,9,,10,1000,10500.5,12", "2024-03-01,BBB,EQ,STK,IN2,20,21,19", '2024-03-01,CCC,EQ,STK,"I,\nN",1,2,1,-,1,5,5')
+    got = {r["symbol"]: r for r in read_bars(spark, put(tmp_path / "b.csv", udiff(*rows)), "udiff", Universe(), DAY).collect()}
+    assert set(got) == {"AAA", "CCC"} and got["AAA"]["close"] is None and got["AAA"]["volume"] == 1000
+    assert got["CCC"]["close"] is None and got["CCC"]["isin"] == "I,\nN" and got["CCC"]["trades"] is None
+
+
 def test_action_files(spark, tmp_path):
     rows = [
         {"symbol": "AAA", "series": "EQ", "exDate": "16-Jun-2025", "subject": "Bonus 4:1", "isin": "I", "faceVal": "2"},

@@ -465,17 +465,61 @@ def _book(spark: SparkSession, sf_dir: str) -> DataFrame:
     return proxy.kept(spark, sf_dir, "book", build)
 
 
-@query()
+_C, _N = load().costs, load().portfolio.slots
+#: What one amount costs, as shares of it (the configured brokerage is nothing), and the flat part of a sale.
+_BUY = f"(({_C.exchange_txn_pct!r} + {_C.sebi_turnover_pct!r}) * (1 + {_C.gst_pct!r}) + {_C.stt_buy_pct!r} + {_C.stamp_duty_buy_pct!r})"
+_SELL = f"(({_C.exchange_txn_pct!r} + {_C.sebi_turnover_pct!r}) * (1 + {_C.gst_pct!r}) + {_C.stt_sell_pct!r})"
+_PROFIT = f"h.quantity * h.exit_price * (1 - {_SELL}) - {_C.dp_charge!r} - h.cost_basis"
+#: The ledger as a recursion over dates: a row holds the equity, the positions and what was sold on the date. Each entry
+#: of a date gets a slot's part of what the entry before has left, a geometric row.
+FOLD = f"""{OUTCOMES},
+days AS (SELECT d, row_number() OVER (ORDER BY d) AS i FROM (SELECT entry_date AS d FROM outcomes UNION SELECT exit_date FROM outcomes) AS x),
+asked AS (SELECT entry_date AS d, list(struct_pack(symbol := symbol, exit_date := exit_date, entry_price := entry_price, exit_price := exit_price, exit_reason := exit_reason, hold_days := hold_days) ORDER BY rank, symbol) AS asks
+    FROM outcomes GROUP BY entry_date),
+moments AS (SELECT i, days.d, coalesce(asks, []) AS asks FROM days LEFT JOIN asked ON days.d = asked.d),
+fold AS (
+    SELECT CAST(0 AS BIGINT) AS i, CAST(NULL AS DATE) AS d, {load().portfolio.capital!r}::DOUBLE AS equity, c AS held, c AS sold FROM (SELECT
+        CAST([] AS STRUCT(symbol VARCHAR, entry_date DATE, exit_date DATE, entry_price DOUBLE, exit_price DOUBLE, quantity DOUBLE, cost_basis DOUBLE, buy_cost DOUBLE, exit_reason VARCHAR, hold_days BIGINT)[]) AS c) AS x
+    UNION ALL
+    SELECT i, d, entered + coalesce(list_sum(list_transform(list_filter(bought, lambda h: h.exit_date = d), lambda h: {_PROFIT})), 0),
+        list_concat(stay, list_filter(bought, lambda h: h.exit_date <> d)), list_concat(leaving, list_filter(bought, lambda h: h.exit_date = d))
+    FROM (SELECT *, settled * power(1 - {_BUY} / {_N}, len(taken)) AS entered, list_transform(taken, lambda a, k: struct_pack(symbol := a.symbol, entry_date := d, exit_date := a.exit_date, entry_price := a.entry_price,
+            exit_price := a.exit_price, quantity := settled / {_N} * power(1 - {_BUY} / {_N}, k - 1) / a.entry_price, cost_basis := settled / {_N} * power(1 - {_BUY} / {_N}, k - 1) * (1 + {_BUY}),
+            buy_cost := settled / {_N} * power(1 - {_BUY} / {_N}, k - 1) * {_BUY}, exit_reason := a.exit_reason, hold_days := a.hold_days)) AS bought
+        FROM (SELECT *, list_slice(list_filter(asks, lambda a: NOT list_contains(list_transform(stay, lambda h: h.symbol), a.symbol)), 1, {_N} - len(stay)) AS taken
+            FROM (SELECT m.i, m.d, m.asks, list_filter(f.held, lambda h: h.exit_date <> m.d) AS stay, list_filter(f.held, lambda h: h.exit_date = m.d) AS leaving,
+                    f.equity + coalesce(list_sum(list_transform(list_filter(f.held, lambda h: h.exit_date = m.d), lambda h: {_PROFIT})), 0) AS settled
+                FROM fold f JOIN moments m ON m.i = f.i + 1) AS x) AS y) AS z),
+trades AS (SELECT h.*, h.exit_price / h.entry_price - 1 AS gross_return, h.quantity * h.exit_price AS exit_value, h.quantity * h.exit_price * {_SELL} + {_C.dp_charge!r} AS sell_cost, {_PROFIT} AS net_profit
+    FROM (SELECT unnest(sold) AS h FROM fold) AS x),
+curve AS (SELECT d AS date, equity, CAST(len(held) AS INTEGER) AS open_positions FROM fold WHERE i > 0)"""
+_AMOUNTS = ("entry_price", "exit_price", "quantity", "cost_basis", "buy_cost", "gross_return", "exit_value", "sell_cost", "net_profit")
+
+
+@query(
+    f"""WITH RECURSIVE {FOLD} SELECT symbol, entry_date, exit_date, {', '.join(f'round({c}, 4) AS {c}' for c in _AMOUNTS)}, round(net_profit / cost_basis, 4) AS net_return,
+    exit_reason, CAST(hold_days AS INTEGER) AS hold_days FROM trades"""
+)
 def slot_sim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(portfolio.trades_of(_book(spark, sf_dir)), 4)
 
 
-@query()
+@query(f"WITH RECURSIVE {FOLD} SELECT date, round(equity, 4) AS equity, open_positions FROM curve")
 def equity_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(portfolio.curve_of(_book(spark, sf_dir)), 4)
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {FOLD}, n AS (SELECT *, net_profit / cost_basis AS net FROM trades),
+    t AS (SELECT count(*) AS trades, avg(gross_return) AS mean_gross_return, median(net) AS median_net_return, avg(net) AS mean_net_return, avg(CASE WHEN net > 0 THEN 1e0 ELSE 0e0 END) AS hit_rate,
+        coalesce(avg(net) FILTER (net > 0), 0) AS avg_win, coalesce(avg(net) FILTER (net <= 0), 0) AS avg_loss, avg(hold_days) AS avg_hold_days, sum(cost_basis) + sum(exit_value) AS traded, sum(buy_cost) + sum(sell_cost) AS total_costs FROM n),
+    c AS (SELECT max_by(equity, date) / {load().portfolio.capital!r} AS grown, min(equity / peak - 1) AS max_drawdown, CASE WHEN max(date) = min(date) THEN 1 ELSE date_diff('day', min(date), max(date)) END / 365.25 AS years
+        FROM (SELECT *, max(equity) OVER (ORDER BY date) AS peak FROM curve) AS x)
+    SELECT trades, {', '.join(f'round({x}, 6) AS {k}' for k, x in {
+        'total_return_net': 'grown - 1', 'cagr_net': 'power(grown, 1 / years) - 1', 'mean_gross_return': 'mean_gross_return', 'median_net_return': 'median_net_return', 'mean_net_return': 'mean_net_return', 'max_drawdown': 'max_drawdown',
+        'hit_rate': 'hit_rate', 'avg_win': 'avg_win', 'avg_loss': 'avg_loss', 'win_loss_ratio': 'avg_win / abs(nullif(avg_loss, 0))', 'avg_hold_days': 'avg_hold_days',
+        'turnover_x_per_year': f'traded / {load().portfolio.capital!r} / years', 'total_costs': 'total_costs', 'cost_drag_pct_of_capital': f'total_costs / {load().portfolio.capital!r}', 'cost_drag_per_trade': 'total_costs / trades', 'years': 'years'}.items())} FROM t, c"""
+)
 def portfolio_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     book = _book(spark, sf_dir)
     return rounded(portfolio.statistics(portfolio.trades_of(book), portfolio.curve_of(book), config().portfolio.capital))

@@ -1,15 +1,20 @@
 """Line deduplication by an exact set-similarity join, in Spark expressions only.
 
-A line is the set of its lower-case words. Lines with equal sets are joined by a 128-bit hash first. Then the words of
-each set are put in order of rarity, counted over all documents; two sets with a Jaccard similarity of at least t share a
-word among the first size - ceil(t * size) + 1 of each (prefix filter), have sizes within a factor t (length filter), and
-leave room for enough common words from the first shared one on (positional filter). 64 parity bits of each set go with
-its words: two sets differ in at least as many words as these bits do, which stops nearly all pairs that only share a
-word. What passes is verified by its exact similarity.
-
-Only the existence of an earlier match counts, so the pairs within a large family of similar lines are never all made:
-each set is first compared with the earliest set of every word list that it is in. Only sets that have no match then are
-compared with all earlier sets of their lists.
+A line is the set of its lower-case words. Lines with equal sets are brought together by a 128-bit hash first, and only
+the earliest line of each set goes on. Then the words of each set are put in order of rarity, counted over all documents;
+two sets with a Jaccard similarity of at least t share a word among the first size - ceil(t * size) + 1 of each (prefix
+filter), have sizes within a factor t (length filter), and leave room for enough common words from the first shared one on
+(positional filter). Parity bits of each set go with its words: two sets differ in at least as many words as these bits
+do, which stops nearly all pairs that only share a word. What passes is verified by its exact similarity.
+
+Lists of frequent words would grow with the corpus, and the pairs in them with its square. So a prefix word that is
+counted more than `FREQUENT` times is listed together with each later word of the prefix, which is longer by one word for
+that: two similar sets of four words or more share the first two of their common words too. No pair is lost by that.
+
+Only the existence of an earlier match counts, so pairs are never made, in a large family of similar lines or elsewhere:
+the joins are semi-joins, which end with the first match of a row. The first one keeps the list entries of sets that an
+earlier set of the list may be similar to, the second one those of the earlier sets that these may be similar to. Both
+get their whole words, and a third one keeps what has an earlier set of the wanted similarity.
 """
 
 from __future__ import annotations
@@ -17,12 +22,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barscreen.llm.common import narrow, packed, unpacked, written
+from barscreen.llm.common import dropped, narrow, packed, unpacked, written
 
 #: Counters of word hashes: their number is fixed, and with it the size of what tells rare words from frequent ones.
-COUNTERS = 1 << 18
+COUNTERS = 1 << 20
+STEPS = 3  # levels of rarity for each doubling of a count: 127 levels tell counts up to 2 ** 42 apart
+FREQUENT = 4096  # words that are counted more often are listed with a second word
+LONG = 32  # sets of more words have 128 parity bits, others 64
 SPACES = "\t\r\x0b\x0c"
-COMMON = 1 << 15  # words that are counted so often, or more, are equally frequent
+BROADCAST_ENTRIES = 1_000_000  # list entries that may be broadcast, 64 MB or so
 BROADCAST_LINES = 4_000_000  # line numbers (and documents) that may be broadcast, 64 MB or so; beyond, the join shuffles
 
 
@@ -42,14 +50,20 @@ def _slot(hashed: Column) -> Column:
     return hashed.bitwiseAND(F.lit(COUNTERS - 1))
 
 
+def level_of(count: Column) -> Column:
+    """The class of rarity of a count: it rises with the logarithm and so never comes to a common end."""
+    return F.least(F.floor(F.lit(STEPS) * F.log2(F.greatest(count, F.lit(1)).cast("double"))), F.lit(127)).cast("bigint")
+
+
 def rarity(docs: DataFrame) -> Column:
-    """An array of COUNTERS numbers as a scalar: how many words of all texts have a hash that ends in each slot."""
+    """An array of COUNTERS numbers as a scalar: the level of the words whose hash ends in each slot, in the upper byte."""
     words = docs.select(F.replace("text", F.lit("\n"), F.lit(" ")).alias("text")).select(F.explode(words_of(F.col("text"))).alias("w"))
-    counts = written(words.groupBy(_slot(F.xxhash64("w")).alias("slot")).agg(F.count("*").alias("n")), "word-counts")
-    slots = docs.sparkSession.range(COUNTERS).select(F.col("id").alias("slot"))
-    packed = slots.join(counts, "slot", "left").select(F.col("slot"), F.least(F.coalesce("n", F.lit(0)), F.lit(COMMON)).alias("n"))
-    ordered = F.sort_array(F.collect_list(F.struct("slot", "n")))
-    return packed.agg(F.transform(ordered, lambda x: x["n"]).alias("n")).scalar()
+    counts = written(words.filter("w != ''").groupBy(_slot(F.xxhash64("w")).alias("slot")).agg(F.count("*").alias("n")), "word-counts")
+    slots = docs.sparkSession.range(COUNTERS).select(F.col("id").alias("slot")).join(counts, "slot", "left")
+    of_slot = slots.select("slot", F.shiftleft(level_of(F.coalesce("n", F.lit(0))), 56).alias("key"))
+    ordered = F.sort_array(F.collect_list(F.struct("slot", "key")))
+    levels = written(of_slot.agg(F.transform(ordered, lambda x: x["key"]).alias("levels")), "word-levels")
+    return levels.agg(F.first("levels")).scalar()
 
 
 def hashes_of(line: Column) -> Column:
@@ -57,10 +71,10 @@ def hashes_of(line: Column) -> Column:
     return F.array_remove(F.array_distinct(F.transform(words_of(line), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
 
 
-def by_rarity(hashes: Column, counts: Column) -> Column:
-    """The hashes in order of rarity: the counter's number in the upper bits, the hash's upper bits in the lower 47."""
-    upper = F.lit((1 << 47) - 1)
-    key = lambda h: F.shiftleft(F.get(counts, _slot(h).cast("int")), 47).bitwiseOR(F.shiftrightunsigned(h, 17).bitwiseAND(upper))
+def by_rarity(hashes: Column, levels: Column) -> Column:
+    """The hashes in order of rarity: the level in the upper byte, the hash's upper bits in the others."""
+    level = lambda h: F.coalesce(F.get(levels, _slot(h).cast("int")), F.lit(0).cast("bigint"))  # noqa: E731  an array without nulls sorts fast
+    key = lambda h: level(h).bitwiseOR(F.shiftrightunsigned(h, 8))
     return F.sort_array(F.transform(hashes, key))
 
 
@@ -74,13 +88,39 @@ def _prefix(size: Column, t: float) -> Column:
     return (size - F.ceil(F.lit(t) * size - 1e-9) + 1).cast("int")
 
 
+def sketched(keyed: DataFrame, t: float) -> DataFrame:
+    """keyed (doc_id, line, h: words in order of rarity) with a hash of the set, its size, parity bits and list keys.
+
+    `bits` and `more` are the parities of one half of the words each if there are more than LONG, or else `bits` has all.
+    `single` are the keys of the prefix words that are not frequent, and so come first; `double` those of the others.
+    """
+    size, first = F.size("h"), F.slice("h", F.lit(1), _prefix(F.size("h"), t))
+    half = F.filter("h", lambda w: w.bitwiseAND(F.lit(64)) != 0)
+    more = F.when(size > LONG, parity(half)).otherwise(F.lit(0).cast("bigint"))
+    frequent = F.lit(int(STEPS * (FREQUENT.bit_length() - 1)) << 56)
+    longer = F.slice("h", F.lit(1), _prefix(F.size("h"), t) + 1)
+    pairs = F.transform(first, lambda w, i: F.when(w < frequent, F.array().cast("array<struct<pos: int, word: bigint>>")).otherwise(F.transform(F.filter(longer, lambda v: v > w), lambda v: F.struct(i.alias("pos"), F.xxhash64(w, v).alias("word")))))
+    double = F.when(F.try_element_at(first, F.lit(-1)) >= frequent, F.flatten(pairs))
+    single = F.transform(F.filter(first, lambda w: w < frequent), lambda w: F.hash(w))
+    listed = (size >= t / (1 - t) - 1e-9) if t < 1 else F.lit(False)  # smaller sets are only similar to equal ones
+    out = keyed.select("doc_id", "line", F.xxhash64("h").alias("h1"), F.xxhash64(F.lit(1), "h").alias("h2"), size.alias("size"), parity(F.col("h")).alias("all"), more.alias("more"), F.when(listed, single).alias("single"), F.when(listed, double).alias("double"))
+    return out.withColumn("bits", F.col("all").bitwiseXOR(F.col("more"))).drop("all")
+
+
+def _off(a: dict[str, Column], b: dict[str, Column]) -> Column:
+    """In how many parity bits two sets differ: never more than they differ in words."""
+    bits, more = a["bits"].bitwiseXOR(b["bits"]), a["more"].bitwiseXOR(b["more"])
+    both = (F.least(a["size"], b["size"]) > LONG) | (F.greatest(a["size"], b["size"]) <= LONG)
+    return F.when(both, F.bit_count(bits) + F.bit_count(more)).otherwise(F.bit_count(bits.bitwiseXOR(more)))
+
+
 def _passes(a: dict[str, Column], b: dict[str, Column], t: float) -> Column:
     """The length, positional and parity filters for sets that share a word at a's and b's pos, by size, pos and bits."""
     both = a["size"] + b["size"]
     needed = F.ceil(F.lit(t / (1 + t)) * both - 1e-9)  # common words that a similarity of t takes
     sizes = F.lit(t) * F.greatest(a["size"], b["size"]) <= F.least(a["size"], b["size"]) + 1e-9
     room = F.least(a["size"] - a["pos"], b["size"] - b["pos"]) >= needed
-    return sizes & room & (F.bit_count(a["bits"].bitwiseXOR(b["bits"])) <= both - 2 * needed)
+    return sizes & room & (_off(a, b) <= both - 2 * needed)
 
 
 def _by_document(lines: DataFrame, name: str) -> DataFrame:
@@ -90,82 +130,81 @@ def _by_document(lines: DataFrame, name: str) -> DataFrame:
     return F.broadcast(held) if count <= BROADCAST_LINES else held
 
 
-def _similar(pairs: DataFrame, docs: DataFrame, t: float) -> DataFrame:
-    """(doc_id, line) of the pairs (doc_id, line, to_doc, to_line) whose word sets have a similarity of t, words as 64-bit hashes."""
-    ends = pairs.select("doc_id", "line").union(pairs.select("to_doc", "to_line")).distinct()
-    texts = docs.join(_by_document(ends, "wanted"), "doc_id").withColumn("lines", lines_of(F.col("text")))
+def _with_words(entries: DataFrame, words: DataFrame, name: str) -> DataFrame:
+    return entries.join(words.withColumnRenamed("a", name), ["doc_id", "line", "size"])
+
+
+def _word_sets(lines: DataFrame, docs: DataFrame) -> DataFrame:
+    """(doc_id, line, size, a) of the lines: the whole set of words as 64-bit hashes, from the texts once more."""
+    texts = docs.join(_by_document(lines, "wanted"), "doc_id").withColumn("lines", lines_of(F.col("text")))
     at = F.explode(F.transform("wanted", lambda k: F.struct(k.alias("line"), F.get("lines", k).alias("words"))))
-    words = written(texts.select("doc_id", at.alias("x")).select("doc_id", "x.line", hashes_of(F.col("x.words")).alias("a")), "line-words")
-    other = words.select(F.col("doc_id").alias("to_doc"), F.col("line").alias("to_line"), F.col("a").alias("b"))
-    both = pairs.join(words, ["doc_id", "line"]).join(other, ["to_doc", "to_line"])
-    common = F.size(F.array_intersect("a", "b"))
-    return both.filter(common >= F.lit(t) * (F.size("a") + F.size("b") - common) - 1e-9).select("doc_id", "line").distinct()
+    found = texts.select("doc_id", at.alias("x")).select("doc_id", "x.line", hashes_of(F.col("x.words")).alias("a"))
+    return written(found.withColumn("size", F.size("a")), "line-words")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, t: float) -> DataFrame:
-    """(doc_id, line) of the lines with a pair (doc_id, line, to_doc, to_line, off) of a similarity of t.
+def _listed(sets: DataFrame) -> DataFrame:
+    """Each set once for each list that it is in: `word` is the list, `pos` the place of its first word."""
+    own = ("doc_id", "line", "size", "bits", "more")
+    single = sets.select(*own, F.posexplode("single").alias("pos", "word"))
+    double = sets.filter(F.size("double") > 0).select(*own, F.explode("double").alias("x")).select(*own, "x.pos", F.hash("x.word").alias("word"))
+    # the task's number adds nothing, but keeps the optimizer from joining the halves of the union one by one
+    return single.union(double).withColumn("pos", F.col("pos") + F.least(F.spark_partition_id(), F.lit(0)))
+
+
+ENTRY = ("doc_id", "line", "size", "pos", "bits", "more")
 
-    One match is enough for a line, so its closest pair by the parity bits goes first; only lines that it fails are
-    verified against all their other pairs.
-    """
-    pairs = written(pairs.distinct(), "line-pairs")
-    closest = F.min(F.struct("off", "to_doc", "to_line")).alias("c")
-    best = written(pairs.groupBy("doc_id", "line").agg(closest).select("doc_id", "line", "c.to_doc", "c.to_line"), "closest-lines")
-    found = written(_similar(best, docs, t), "matched-lines")
-    rest = pairs.drop("off").join(found, ["doc_id", "line"], "left_anti").join(best, ["doc_id", "line", "to_doc", "to_line"], "left_anti")
-    rest = written(rest, "line-pairs")
-    return found if rest.isEmpty() else found.union(written(_similar(rest, docs, t), "matched-lines"))
 
+def _may_match(entries: DataFrame, others: DataFrame, t: float, earlier: bool, also: Column | None = None) -> DataFrame:
+    """The entries with one in `others`, of the same list, that is earlier (or later) and passes the filters."""
+    own, x = ({c: F.col(f"{side}.{c}") for c in ENTRY} for side in ("own", "x"))
+    one, two = (x, own) if earlier else (own, x)
+    in_order = (one["doc_id"] < two["doc_id"]) | ((one["doc_id"] == two["doc_id"]) & (one["line"] < two["line"]))
+    met = (F.col("own.word") == F.col("x.word")) & in_order & _passes(own, x, t)
+    return entries.alias("own").join(others.alias("x"), met if also is None else met & also, "left_semi")
 
-def line_matches(docs: DataFrame, t: float = 0.8, min_words: int = 5) -> DataFrame:
-    """(doc_id, line) of every line (from 0) of docs (doc_id, text) that an earlier line matches."""
+
+def first_lines(docs: DataFrame, t: float = 0.8) -> DataFrame:
+    """(doc_id, line) of every line (from 0) of docs (doc_id, text) with words that no earlier line matches."""
+    if not 0.5 < t <= 1:
+        raise ValueError("t must be over 0.5: two similar sets of two words or more then share two words")
     docs = narrow(docs, "doc_id", "text").filter("doc_id is not null and text is not null")
-    counts = rarity(docs)
-    split = docs.select("doc_id", F.posexplode(lines_of(F.col("text"))).alias("line", "words")).filter(F.length("words") >= 2 * min_words - 1)
-    hashed = split.select("doc_id", "line", hashes_of(F.col("words")).alias("h"))
-    keyed = hashed.withColumn("counts", counts).select("doc_id", "line", by_rarity(F.col("h"), F.col("counts")).alias("h"))
-    hashes = [F.xxhash64("h").alias("h1"), F.xxhash64(F.lit(1), "h").alias("h2")]
-    of_set = [F.size("h").alias("size"), parity(F.col("h")).alias("bits"), F.transform(F.slice("h", F.lit(1), _prefix(F.size("h"), t)), lambda w: F.hash(w)).alias("prefix")]
-    lines = written(keyed.select("doc_id", "line", *hashes, *of_set), "lines").filter(F.col("size") >= min_words)  # after the write: else hashed twice
+    split = docs.select("doc_id", F.posexplode(lines_of(F.col("text"))).alias("line", "words"))
+    hashed = split.select("doc_id", "line", hashes_of(F.col("words")).alias("h")).withColumn("levels", rarity(docs))
+    keyed = hashed.select("doc_id", "line", by_rarity(F.col("h"), F.col("levels")).alias("h"))
     first = F.min(F.struct("doc_id", "line")).alias("at")
-    sets = lines.groupBy("h1", "h2").agg(first, *[F.first(c).alias(c) for c in ("size", "bits", "prefix")])
-    sets = written(sets.select("at.*", "size", "bits", "prefix"), "line-sets")
-
-    lists = sets.select("doc_id", "line", "size", "bits", F.posexplode("prefix").alias("pos", "word"))
-    earliest = F.first(F.struct("doc_id", "line", "size", "pos", "bits")).over(Window.partitionBy("word").orderBy("doc_id", "line").rowsBetween(Window.unboundedPreceding, 0))
-    led = lists.withColumn("x", earliest).filter((F.col("x.doc_id") != F.col("doc_id")) | (F.col("x.line") != F.col("line")))
-    own = {c: F.col(c) for c in ("size", "pos", "bits")}
-    led = led.filter(_passes(own, {c: F.col(f"x.{c}") for c in own}, t))
-    found = _verified(led.select("doc_id", "line", F.col("x.doc_id").alias("to_doc"), F.col("x.line").alias("to_line"), F.bit_count(F.col("bits").bitwiseXOR(F.col("x.bits"))).alias("off")), docs, t)
-
-    small, dealt = (F.broadcast, lists.repartition("word")) if found.count() <= BROADCAST_LINES else (lambda df: df, lists)
-    rest = dealt.join(small(found), ["doc_id", "line"], "left_anti")  # after the exchange by word, which both sides then share
-    earlier = dealt.select("word", *[F.col(c).alias(f"x_{c}") for c in ("doc_id", "line", "size", "pos", "bits")])
-    later = (F.col("x_doc_id") < F.col("doc_id")) | ((F.col("x_doc_id") == F.col("doc_id")) & (F.col("x_line") < F.col("line")))
-    more = rest.join(earlier, "word").filter(later & _passes(own, {c: F.col(f"x_{c}") for c in own}, t))
-    more = more.select("doc_id", "line", F.col("x_doc_id").alias("to_doc"), F.col("x_line").alias("to_line"), F.bit_count(F.col("bits").bitwiseXOR(F.col("x_bits"))).alias("off"))
-    found = found.union(_verified(more, docs, t))
-
-    firsts = lines.groupBy("h1", "h2").agg(first)
-    named = written(lines.select("h1", "h2", "doc_id", "line").join(firsts, ["h1", "h2"]).filter((F.col("doc_id") != F.col("at.doc_id")) | (F.col("line") != F.col("at.line"))), "repeats")
-    again = named.select("doc_id", "line")  # lines whose set has come before; of the others, those with a match go
-    return again.union(found).distinct()
-
-
-def deduplicated(docs: DataFrame, t: float = 0.8, min_words: int = 5) -> DataFrame:
+    sets = sketched(keyed, t).groupBy("h1", "h2").agg(first, *[F.first(c).alias(c) for c in ("size", "bits", "more", "single", "double")])
+    sets = written(sets.filter("size > 0").select("at.*", "size", "bits", "more", "single", "double"), "line-sets")
+    lists = _listed(sets)
+    later = written(_may_match(lists, lists, t, earlier=True), "line-candidates")  # both sides share one exchange
+    small = F.broadcast if later.count() <= BROADCAST_ENTRIES else lambda df: df
+    earlier = written(_may_match(lists, small(later), t, earlier=False), "line-targets")
+    words = _word_sets(later.select("doc_id", "line").union(earlier.select("doc_id", "line")).distinct(), docs)
+    common = F.size(F.array_intersect("a", "b"))
+    similar = common >= F.lit(t) * (F.size("a") + F.size("b") - common) - 1e-9
+    found = _may_match(_with_words(later, words, "a"), _with_words(earlier, words, "b"), t, earlier=True, also=similar)
+    which = ["doc_id", "line", "size", "bits", "more"]  # rows may share a doc_id
+    found = written(found.select(*which).distinct(), "matched-lines")
+    dropped(later, earlier, words)
+    return sets.join(found, which, "left_anti").select("doc_id", "line").distinct()
+
+
+def deduplicated(docs: DataFrame, t: float = 0.8) -> DataFrame:
     """docs with every line removed that an earlier line matches; n_removed says how many.
 
-    A line takes part if it has `min_words` distinct words or more; words are split at ASCII white space and compared
-    in lower case. Earlier means a smaller doc_id, or the same doc_id and a smaller line number; whether the earlier
-    line is itself removed doesn't matter. Rows with a null doc_id or text stay as they are, and so do their lines.
+    A line takes part if it has a word, be it one only; lines without words stay. Words are split at ASCII white space and
+    compared in lower case. Earlier means a smaller doc_id, or the same doc_id and a smaller line number; whether the
+    earlier line is itself removed doesn't matter; t is over 0.5. Rows with a null doc_id or text stay as they are, and so do their lines.
     Rows that share a doc_id are one document for the order: lines at the same place of both aren't earlier than each
-    other and stay or go together. All other columns are kept, but for one named n_removed.
+    other, and a place is removed from all of them only if no line at it stays. All other columns are kept, but for one
+    named n_removed. An empty table gives no rows; a text of any length is one row, and its lines are dealt out by word.
     """
-    gone = _by_document(line_matches(docs, t, min_words), "gone")
+    kept = _by_document(first_lines(docs, t), "kept")
     rows = docs.select("doc_id", packed(docs).alias("row"), F.col("text").alias("text"), lines_of(F.col("text")).alias("lines"))
-    joined = rows.join(gone, "doc_id", "left")
-    left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone")
-    kept = F.array_join(F.transform(left, lambda k: F.get("lines", k)), "\n")
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept).alias("text")
-    removed = F.coalesce(F.array_size("gone"), F.lit(0)).cast("bigint").alias("n_removed")
-    return joined.select(*unpacked("row", docs.columns, "text", "n_removed"), text, removed)
+    joined = rows.join(kept, "doc_id", "left").withColumn("all", F.sequence(F.lit(0), F.size("lines") - 1))
+    blank = F.filter("all", lambda k: F.btrim(F.get("lines", k), F.lit(" " + SPACES)) == "")
+    none = F.array().cast("array<int>")
+    gone = F.array_except(F.array_except("all", F.coalesce("kept", none)), blank)
+    joined = joined.withColumn("gone", F.when(F.col("doc_id").isNull() | F.col("text").isNull(), none).otherwise(gone))
+    rebuilt = F.array_join(F.transform(F.array_except("all", "gone"), lambda k: F.get("lines", k)), "\n")
+    text = F.when(F.size("gone") == 0, F.col("text")).otherwise(rebuilt).alias("text")
+    return joined.select(*unpacked("row", docs.columns, "text", "n_removed"), text, F.size("gone").cast("bigint").alias("n_removed"))

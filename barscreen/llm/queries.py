@@ -109,7 +109,7 @@ ORACLE_SQL: dict[str, str] = {
         sized AS (SELECT doc_id, n, line, list_sort(list_distinct(list_filter(string_split(translate(lower(line), chr(9) || chr(13) || chr(11) || chr(12), '    '), ' '), lambda x: x <> ''))) AS ws
             FROM lines),
         sets AS (SELECT *, row_number() OVER (ORDER BY doc_id, n) AS id FROM (SELECT ws, len(ws) AS c, min_by(doc_id, (doc_id, n)) AS doc_id, min_by(n, (doc_id, n)) AS n
-            FROM sized WHERE len(ws) >= 5 GROUP BY ws)),
+            FROM sized WHERE len(ws) >= 1 GROUP BY ws)),
         words AS (SELECT id, c, unnest(ws) AS w FROM sets),
         met AS (SELECT a.id, a.c, b.c AS d, count(*) AS common FROM words a JOIN words b ON a.w = b.w AND b.id < a.id AND 0.8 * greatest(a.c, b.c) <= least(a.c, b.c) + 1e-9
             GROUP BY a.id, b.id, a.c, b.c),

@@ -4,8 +4,9 @@ The budget goes down the tree by weight. A node never gets more than its leaves
 what a leaf is short of goes to its siblings first, and to other languages or domains only when no sibling has room.
 Each leaf then takes whole epochs of its documents, and of one more epoch, in an order that the seed, the epoch and
 doc_id fix, the longest prefix whose tokens fit into the rest. That prefix is given by one cutoff key for each leaf:
-sums over 4096 ranges of the key find the range that it is in, and only that range's documents are put in order. Texts
-are never shuffled: choosing is a filter beside a join with the leaves' table.
+sums over 4096 ranges of the key find the range that it is in, and only that range's documents are put in order. Tokens
+are those of the vocabulary that packing uses, counted once; documents and counts are written together, so choosing reads
+narrow columns and is then a filter beside a join with the leaves' table. Texts aren't shuffled up to BROADCAST_LEAVES.
 """
 
 from __future__ import annotations
@@ -13,10 +14,12 @@ from __future__ import annotations
 from collections.abc import Mapping
 from fractions import Fraction
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barscreen.llm.common import packed, unpacked, written
+from barscreen.llm.common import packed, small_batches, unpacked, written
+from barscreen.llm.packing import encoding
 
 LEAF = ("_domain", "_lang", "_source")
 DOMAINS = ("web", "reference", "community")
@@ -31,9 +34,14 @@ def domain_of(source: Column) -> Column:
     return F.coalesce(F.get(F.array(*map(F.lit, DOMAINS)), F.pmod(number, F.lit(len(DOMAINS)))), F.lit("other"))
 
 
-def words(text: Column) -> Column:
-    """The number of words of a text, as its number of tokens."""
-    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("bigint")
+def token_counts(text: Column) -> Column:
+    """The number of tokens of a whole text, by the vocabulary that packing uses; a null or empty text has none."""
+
+    @F.pandas_udf("bigint")
+    def count(texts: pd.Series) -> pd.Series:
+        return pd.Series([len(encoding().encode(t, allowed_special="all")) if t else 0 for t in texts], dtype="int64")
+
+    return count(text)
 
 
 def shared_out(budget: int, children: list[tuple[str, int, int]]) -> dict[str, int]:
@@ -48,20 +56,24 @@ def shared_out(budget: int, children: list[tuple[str, int, int]]) -> dict[str, i
 def budgets(leaves: Mapping[tuple[str, str, str], int], budget: int, weights: tuple[Mapping[str, int], ...], max_epochs: int) -> dict[tuple[str, str, str], int]:
     """Tokens for each leaf (domain, language, source) of the given size; weights of names that aren't listed are 1."""
 
-    def room(prefix: tuple[str, ...]) -> int:
-        if len(prefix) == len(LEAF):
-            return max_epochs * leaves[prefix]
-        below = {k[: len(prefix) + 1] for k in leaves if k[: len(prefix)] == prefix}
-        return sum(room(k) for k in below if weights[len(prefix)].get(k[-1], 1))
+    below: dict[tuple[str, ...], dict[tuple[str, ...], None]] = {}
+    room: dict[tuple[str, ...], int] = {}
+    for leaf, size in leaves.items():  # each node once for each leaf under it, so the work is that of the leaves
+        weight = 1
+        for k in range(len(LEAF), 0, -1):
+            weight = weight and weights[k - 1].get(leaf[k - 1], 1)
+            room[leaf[: k - 1]] = room.get(leaf[: k - 1], 0) + (max_epochs * size if weight else 0)
+            below.setdefault(leaf[: k - 1], {})[leaf[:k]] = None
+        room[leaf] = max_epochs * size
 
     def down(prefix: tuple[str, ...], amount: int) -> dict[tuple[str, str, str], int]:
         if len(prefix) == len(LEAF):
             return {prefix: amount}
-        names = sorted({k[len(prefix)] for k in leaves if k[: len(prefix)] == prefix})
-        given = shared_out(amount, [(n, weights[len(prefix)].get(n, 1), room((*prefix, n))) for n in names])
-        return {k: v for n in names for k, v in down((*prefix, n), given[n]).items()}
+        nodes = sorted(below.get(prefix, {}))
+        given = shared_out(amount, [(n[-1], weights[len(prefix)].get(n[-1], 1), room[n]) for n in nodes])
+        return {k: v for n in nodes for k, v in down(n, given[n[-1]]).items()}
 
-    return down((), min(budget, room(())))
+    return down((), min(budget, room.get((), 0)))
 
 
 def mixed(
@@ -83,8 +95,10 @@ def mixed(
     """
     spark = docs.sparkSession
     parts = (domain_of(F.col("source")) if domain is None else domain, F.coalesce("lang", F.lit("")), F.coalesce("source", F.lit("")))
-    named = docs.select("doc_id", packed(docs).alias("_row"), words(F.col("text")).alias("_tokens"), *[c.alias(n) for c, n in zip(parts, LEAF, strict=True)])
-    sized = written(named.select("doc_id", "_tokens", *LEAF), "sizes")
+    small_batches(spark)
+    counted = docs.select("doc_id", packed(docs).alias("_row"), token_counts(F.col("text")).alias("_tokens"), *[c.alias(n) for c, n in zip(parts, LEAF, strict=True)])
+    named = written(counted, "sized-documents")  # tokens are counted once
+    sized = named.select("doc_id", "_tokens", *LEAF)
     leaves = {tuple(r[:3]): r[3] for r in sized.groupBy(*LEAF).agg(F.sum("_tokens")).collect()}
     weights = tuple(w if w is not None else default for w, default in ((domain_weights, DOMAIN_WEIGHTS), (lang_weights, LANG_WEIGHTS), (source_weights, {})))
     given = budgets(leaves, int(Fraction(str(share)) * sum(leaves.values())), weights, max_epochs)

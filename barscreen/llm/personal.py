@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barscreen.llm.common import narrow, small_batches
-from barscreen.llm.spans import Span, overlaps, report, report_type
+from barscreen.llm.spans import Cover, Span, report, report_type
 
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("crf_email", "crf_ip", "crf_card", "crf_phone")
@@ -77,7 +77,8 @@ def tokens_of(text: str) -> list[tuple[int, int]]:
     return found
 
 
-def _features(text: str, start: int, end: int, base: list[Span]) -> list[float]:
+def _features(text: str, start: int, end: int, covers: list[Cover]) -> list[float]:
+    """covers: of each kind of BASE."""
     token = text[start:end]
     digits = sum(c in "0123456789" for c in token)
     letters = sum(c.isalpha() for c in token)
@@ -86,7 +87,7 @@ def _features(text: str, start: int, end: int, base: list[Span]) -> list[float]:
     size = max(k for k, least in enumerate(SIZES) if digits >= least)
     before = text[max(0, start - 24) : start].lower().split()
     cue = before[-1].strip(".,:;()") if before else ""
-    own = [any(k == kind and a < end and start < b for k, a, b in base) for kind in BASE]
+    own = [c.overlaps(start, end) for c in covers]
     return [
         1.0,
         *(size == k for k in range(len(SIZES))),
@@ -119,6 +120,7 @@ def graph(texts: list[str], bases: list[list[Span]]) -> dict:
     where, rows, chain, skip, depth = [], [], [], [], []
     for n, (text, base) in enumerate(zip(texts, bases, strict=True)):
         seen: dict[str, int] = {}
+        covers = [Cover([x for x in base if x[0] == kind]) for kind in BASE]
         for start, end in tokens_of(text):
             k = len(where)
             depth.append(0)
@@ -132,7 +134,7 @@ def graph(texts: list[str], bases: list[list[Span]]) -> dict:
                     depth[k] = max(depth[k], depth[seen[key]] + 1)
                 seen[key] = k
             where.append((n, start, end))
-            rows.append(_features(text, start, end, base))
+            rows.append(_features(text, start, end, covers))
     ends = np.array([*chain, *skip], np.int64).reshape(-1, 2)
     return {"where": where, "x": np.array(rows, float), "edges": ends, "kind": np.repeat([0, 1], [len(chain), len(skip)]), "reach": max(depth, default=0)}
 
@@ -241,14 +243,14 @@ def field_spans(texts: list[str], bases: list[list[Span]], weights: tuple[np.nda
         return out
     at, _ = marginals(g, *weights)
     label = np.where(at.max(axis=1) >= CERTAIN, at.argmax(axis=1), 0)
-    last = None
+    last, covers = None, [Cover(x) for x in bases]
     for (n, start, end), k in zip(g["where"], label.tolist(), strict=True):
         text = texts[n]
         while end > start and text[end - 1] in ".,;:!?\"'>]})":
             end -= 1
         while start < end and text[start] in "\"'<[{":
             start += 1
-        if not k or start == end or overlaps(start, end, bases[n]):
+        if not k or start == end or covers[n].overlaps(start, end):
             last = None
             continue
         if last and last[:2] == (n, k) and start - out[n][-1][2] <= 2:
@@ -263,7 +265,8 @@ def scanned(docs: DataFrame) -> DataFrame:
     """(doc_id, n_email .. n_phone, n_crf_email .. n_crf_phone, base_sha256, spans) for every row of docs (doc_id, text).
 
     Other columns are ignored. A null text counts as empty; repeated rows stay. Positions are code points, ends
-    exclusive. The field adds spans that overlap none of the patterns' spans and never takes one away.
+    exclusive. The field adds spans that overlap none of the patterns' spans and never takes one away. A text of any length
+    is one field. An empty table gives no rows.
     """
     small_batches(docs.sparkSession)
     weights = fitted()

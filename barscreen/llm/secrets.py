@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from barscreen.llm.common import narrow, small_batches
 from barscreen.llm.packing import encoding
-from barscreen.llm.spans import Span, overlaps, report, report_type
+from barscreen.llm.spans import Cover, Span, report, report_type
 
 BASE, ADDED = ("assign", "access", "hex"), ("random",)
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -44,10 +44,10 @@ def characters_per_token(run: str) -> float:
 
 
 def random_spans(text: str, base: list[Span], ratio: float = RATIO, known: frozenset[str] = frozenset()) -> list[Span]:
-    found = []
+    found, known_spans = [], Cover(base)
     for m in RUN.finditer(text):
         run, start, end = m[0], m.start(), m.end()
-        if run in known or NUMBER.fullmatch(run) or UUID.fullmatch(run) or overlaps(start, end, base):
+        if run in known or NUMBER.fullmatch(run) or UUID.fullmatch(run) or known_spans.overlaps(start, end):
             continue
         if len(run) in DIGEST_LENGTHS and DIGEST.search(text, max(0, start - 24), start):
             continue
@@ -60,7 +60,8 @@ def scanned(docs: DataFrame, ratio: float = RATIO, known: frozenset[str] = froze
     """(doc_id, n_assign, n_access, n_hex, n_random, base_sha256, spans) for every row of docs (doc_id, text).
 
     Other columns are ignored. A null text counts as empty; repeated rows stay. Positions are code points, ends
-    exclusive. `known` are digests that are never reported as random.
+    exclusive. `known` are digests that are never reported as random. A text of any length is scanned whole, and runs of
+    over WINDOW characters are tokenized in pieces of that size. An empty table gives no rows.
     """
     small_batches(docs.sparkSession)
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
 
 import pandas as pd
 
@@ -15,8 +17,17 @@ def joined(spans: list[Span], kinds: tuple[str, ...]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in ordered)
 
 
-def overlaps(start: int, end: int, spans: list[Span]) -> bool:
-    return any(start < b and a < end for _, a, b in spans)
+class Cover:
+    """Which places of a text spans cover: each question takes the logarithm of their number."""
+
+    def __init__(self, spans: list[Span]):
+        ordered = sorted((a, b) for _, a, b in spans)
+        self.starts = [a for a, _ in ordered]
+        self.ends = list(itertools.accumulate((b for _, b in ordered), max))  # the furthest end so far
+
+    def overlaps(self, start: int, end: int) -> bool:
+        before = bisect.bisect_left(self.starts, end)  # spans that begin before the end
+        return before > 0 and self.ends[before - 1] > start
 
 
 def report(found: list[tuple[list[Span], list[Span]]], base: tuple[str, ...], added: tuple[str, ...]) -> pd.DataFrame:

@@ -1,10 +1,11 @@
 """Exact top-k inner products by a three-phase uniform threshold (Cao and Wang, 2004).
 
 The dimensions are split among `parts` score lists; a score is the sum of a vector's entries in them.
-First, each block of vectors gives its best entries of every list, with their full scores: the k-th best of those is a
-cutoff that no result can be below. Then, with the cutoff back at the blocks, every entry of at least cutoff / parts is
-collected: a vector without such an entry sums up to less than the cutoff. Last, the full scores of what was collected
-are resolved and the k best stay. Queries and vectors meet in blocks of bounded size.
+First, blocks of vectors give their best entries of every list, with their full scores: the k-th best of those is a
+cutoff that no result can be below. Any k vectors give a safe one, so every `FIRST`-th block is enough for that, and the
+first phase costs a fraction of the second. Then, with the cutoff at all blocks, every entry of at least cutoff / parts
+is collected, list by list: a vector without such an entry sums up to less than the cutoff. Last, what was collected has
+the entries that it misses added, and the k best full scores stay. Queries and vectors meet in blocks of bounded size.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 from barscreen.llm.common import narrow, written
 from barscreen.llm.vectors import matrix, usable
 
+FIRST = 4  # one block of so many is read by the first phase
 CELLS = 1 << 20  # scores that are held at once
 FOUND = "query_row bigint, query_id bigint, vec_row bigint, vec_id bigint, score bigint"
 
@@ -54,7 +56,7 @@ def _searcher(k: int, parts: int, bounded: bool):
             lists = _scores(q[at : at + step], v, edges)
             if bounded:
                 cutoff = own["cutoff"].to_numpy(np.float64, na_value=-np.inf)[:, None]
-                wanted = np.isneginf(cutoff) | np.logical_or.reduce([parts * x >= cutoff for x in lists])
+                wanted = np.logical_or.reduce([parts * x >= cutoff for x in lists])
             else:
                 cutoff, wanted = np.full((len(own), 1), -np.inf), np.zeros((len(own), len(others)), bool)
                 for x in lists:
@@ -73,13 +75,14 @@ def _searcher(k: int, parts: int, bounded: bool):
     return run
 
 
-def top_k(vectors: DataFrame, queries: Column, k: int = 5, parts: int = 4, query_block: int = 8192, vector_block: int = 4096) -> DataFrame:
+def top_k(vectors: DataFrame, queries: Column, k: int = 5, parts: int = 2, query_block: int = 8192, vector_block: int = 4096) -> DataFrame:
     """(query_id, rank, vec_id, score): the k highest scores of every query row among all rows but its own.
 
     vectors: (vec_id, embedding); others are ignored. queries: a condition on vec_id that marks the query rows. A
     score is the integer inner product of floor(256 * x); ties go to the smaller vec_id. Vectors that are null or
     hold null or non-finite components, and rows with a null vec_id, take no part; vectors of different lengths
-    aren't compared. Repeated rows are vectors, and queries, of their own. Fewer than k others: all of them.
+    aren't compared. Repeated rows are vectors, and queries, of their own. Fewer than k others: all of them. An empty
+    table gives no rows.
     """
     rows = narrow(vectors, "vec_id", "embedding").filter(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
     rows = written(rows.select(F.monotonically_increasing_id().alias("row"), "vec_id", "embedding", F.size("embedding").alias("dim"), F.coalesce(queries, F.lit(False)).alias("asks")), "vectors")
@@ -93,7 +96,8 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, parts: int = 4, query
         asks = rows.filter("asks")
         asks = asks.withColumn("cutoff", F.lit(None).cast("bigint")) if cutoffs is None else asks.join(cutoffs, "row", "left")
         asks = asks.select("row", "vec_id", "embedding", "dim", spread(down, "y"), own(across, "x"), F.lit(True).alias("asks"), "cutoff")
-        return blocks.unionByName(asks).groupBy("dim", "x", "y").applyInPandas(_searcher(k, parts, cutoffs is not None), FOUND)
+        met = blocks.unionByName(asks)
+        return (met.filter(F.col("y") % FIRST == 0) if cutoffs is None else met).groupBy("dim", "x", "y").applyInPandas(_searcher(k, parts, cutoffs is not None), FOUND)
 
     best = Window.partitionBy("query_row").orderBy(F.col("score").desc(), "vec_id", "vec_row")
     nth = lambda found: found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)

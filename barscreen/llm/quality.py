@@ -1,6 +1,8 @@
 """Quality by co-training: one classifier for a text's content and one for its page's metadata.
 
-Both are logistic regressions, fitted on a bounded sample of labelled documents. Over some rounds each of them labels all
+Both are logistic regressions, fitted on a bounded sample of labelled documents. That of the content weighs surface
+figures and a lexical score: hashed words and character trigrams of the whole text, told apart by the means and variances
+that each class has of them. Over some rounds each of them labels all
 unlabelled documents that it is sure of, and the other one learns from those as well. They stay in Spark: tasks count
 them by metadata (which has few distinct values) and sum the gradient and Hessian of the content's classifier. Those of a
 class weigh together at most as much as the labelled ones of it, or else the mistakes of one view would outvote all labels,
@@ -19,10 +21,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barscreen.llm.common import narrow, packed, small_batches, unpacked, written
+from barscreen.llm.common import dropped, narrow, packed, small_batches, unpacked, written
 
 LABELLED = 4000  # documents in the labelled sample, at most
-TEXT_FEATURES, META_FEATURES = 16, 96
+TEXT_FEATURES, META_FEATURES = 17, 96  # the last one of the content's is the lexical score
+WORD_SLOTS, GRAM_SLOTS = 256, 256
 LANGS, SOURCES, LENGTHS = 16, 64, 16  # values of the metadata
 ROUNDS, SURE = 4, 0.97  # rounds, least confidence
 
@@ -61,6 +64,42 @@ def text_view(text: str | None) -> np.ndarray:
     )
 
 
+def grams(text: str | None) -> bytes:
+    """Hashed words, then hashed character trigrams of a whole text: 255 times the root of each slot's share, a byte each."""
+    raw = (text or "").encode("utf-8", "surrogatepass").lower()
+    words = np.fromiter((zlib.crc32(w) % WORD_SLOTS for w in raw.split()), np.int64)
+    b = np.frombuffer(raw, np.uint8).astype(np.uint32)
+    codes = (b[:-2] << 16 | b[1:-1] << 8 | b[2:]) if len(b) > 2 else b[:0]
+    slots = (codes * np.uint32(2654435769)) >> np.uint32(24)
+    counts = [np.bincount(words, minlength=WORD_SLOTS), np.bincount(slots, minlength=GRAM_SLOTS)]
+    return np.concatenate([np.sqrt(c / max(1, c.sum())) * 255 for c in counts]).round().astype(np.uint8).tobytes()
+
+
+def _shares(g: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(map(bytes, g)), np.uint8).reshape(len(g), WORD_SLOTS + GRAM_SLOTS) / 255.0
+
+
+class Lexicon:
+    """A linear score of hashed words and trigrams out of both classes' sums: (class, weight | sums | sums of squares)."""
+
+    def __init__(self, sums: np.ndarray):
+        n, s, q = sums[:, :1], *np.split(sums[:, 1:], 2, axis=1)
+        mean = s / np.maximum(n, 1e-9)
+        spread = (q.sum(0) / max(n.sum(), 1e-9) - (n * mean * mean).sum(0) / max(n.sum(), 1e-9)).clip(0) + 1e-4
+        self.w, self.middle, self.scale = (mean[0] - mean[1]) / spread, mean.mean(0), 1.0
+        apart = float((mean[0] - mean[1]) @ self.w)
+        self.scale = max(1e-9, apart / 2)  # the classes' means are at 1 and -1
+
+    @staticmethod
+    def sums(shares: np.ndarray, good: np.ndarray, bad: np.ndarray) -> np.ndarray:
+        """good, bad: what each row weighs in either class."""
+        rows = np.column_stack((np.ones(len(shares)), shares, shares * shares))
+        return np.stack((good, bad)) @ rows
+
+    def score(self, shares: np.ndarray) -> np.ndarray:
+        return ((shares - self.middle) @ self.w / self.scale).clip(-4, 4)
+
+
 def meta_view(lang: str | None, source: str | None, n_chars: float | None) -> np.ndarray:
     """Hashed names, and the class of the size that the page states."""
     out = np.zeros(META_FEATURES)
@@ -72,7 +111,7 @@ def meta_view(lang: str | None, source: str | None, n_chars: float | None) -> np
 
 
 def views(text: pd.Series, lang: pd.Series, source: pd.Series, n_chars: pd.Series) -> tuple[np.ndarray, np.ndarray]:
-    a = np.array([text_view(t) for t in text]).reshape(-1, TEXT_FEATURES)
+    a = np.array([text_view(t) for t in text]).reshape(-1, TEXT_FEATURES - 1)
     b = np.array([meta_view(*x) for x in zip(lang, source, n_chars, strict=True)]).reshape(-1, META_FEATURES)
     return a, b
 
@@ -129,6 +168,18 @@ class Logistic:
         return w
 
 
+class Content(Logistic):
+    """The content's classifier: surface figures and the score of a lexicon, which is renewed in each round."""
+
+    def __init__(self, mean: np.ndarray, scale: np.ndarray, lexicon: Lexicon):
+        super().__init__(np.append(mean, 0.0), np.append(scale, 1.0))
+        self.lexicon = lexicon
+
+    def features(self, df: pd.DataFrame) -> np.ndarray:
+        """Of rows (x, g)."""
+        return np.column_stack((np.array(df["x"].tolist()).reshape(len(df), -1), self.lexicon.score(_shares(df["g"]))))
+
+
 def _meta_rows(combos: np.ndarray) -> np.ndarray:
     """The metadata features of the numbers that _combo gives."""
     out, k = np.zeros((len(combos), META_FEATURES)), np.arange(len(combos))
@@ -148,39 +199,45 @@ COMBOS = np.arange(LANGS * SOURCES * LENGTHS)
 
 
 class Unlabelled:
-    """All unlabelled documents (x: content features, combo: metadata), summed in the tasks that read them."""
+    """All unlabelled documents (x: surface figures, g: grams, combo: metadata), summed in the tasks that read them."""
 
     def __init__(self, df: DataFrame):
         self.df = df
 
-    def _summed(self, of: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
-        """The sum over all batches of of(x, combo), an array of a fixed size; a row a task comes to the driver."""
+    def _summed(self, of: Callable[[pd.DataFrame], np.ndarray]) -> np.ndarray:
+        """The sum over all batches of `of`, an array of a fixed size: a few hundred numbers a task, added up in Spark."""
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             total = None
             for df in batches:
                 if len(df):
-                    made = of(np.array(df["x"].tolist()), df["combo"].to_numpy())
+                    made = of(df)
                     total = made if total is None else total + made
             if total is not None:
-                yield pd.DataFrame({"s": [total]})
+                yield pd.DataFrame({"at": range(len(total)), "s": total})
 
-        made = sorted(tuple(r["s"]) for r in self.df.mapInPandas(run, "s array<double>").collect())  # one order for the sum
-        return np.sum(np.array(made), axis=0) if made else np.zeros(0)
+        made = self.df.mapInPandas(run, "at int, s double").groupBy("at").agg(F.sort_array(F.collect_list("s")).alias("s"))  # one order for the sum
+        rows = made.select("at", F.aggregate("s", F.lit(0.0), lambda a, x: a + x).alias("s")).collect()
+        return np.array([r["s"] for r in sorted(rows)])
 
     def moments(self) -> np.ndarray:
-        """Number, sums and sums of squares of the content features."""
-        found = self._summed(lambda x, combo: np.concatenate(([len(x)], x.sum(0), (x * x).sum(0))))
-        return found if len(found) else np.zeros(1 + 2 * TEXT_FEATURES)
+        """Number, sums and sums of squares of the surface figures."""
+
+        def of(df: pd.DataFrame) -> np.ndarray:
+            x = np.array(df["x"].tolist())
+            return np.concatenate(([len(x)], x.sum(0), (x * x).sum(0)))
 
-    def counts(self, model: Logistic | None) -> np.ndarray:
+        found = self._summed(of)
+        return found if len(found) else np.zeros(1 + 2 * (TEXT_FEATURES - 1))
+
+    def counts(self, model: Content | None) -> np.ndarray:
         """Documents by metadata that the content's classifier is sure are good, or bad; of all documents without one."""
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             found = np.zeros((2, len(COMBOS)), np.int64)
             for df in batches:
                 if len(df):
-                    p = np.ones(len(df)) if model is None else _sigmoid(model.odds(np.array(df["x"].tolist())))
+                    p = np.ones(len(df)) if model is None else _sigmoid(model.odds(model.features(df)))
                     for k, sure in enumerate((p, 1 - p)):
                         found[k] += np.bincount(df["combo"].to_numpy()[sure >= SURE], minlength=len(COMBOS))
             some = np.flatnonzero(found.any(0))
@@ -192,12 +249,26 @@ class Unlabelled:
             out[:, combo] = good, bad
         return out
 
-    def sums(self, model: Logistic, w: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def lexical_sums(self, label: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """Lexicon.sums over the documents whose metadata has a weight."""
+
+        def of(df: pd.DataFrame) -> np.ndarray:
+            combo = df["combo"].to_numpy()
+            good = weight[combo] * label[combo]
+            return Lexicon.sums(_shares(df["g"]), good, weight[combo] - good).ravel()
+
+        found = self._summed(of)
+        return found.reshape(2, -1) if len(found) else np.zeros((2, 1 + 2 * (WORD_SLOTS + GRAM_SLOTS)))
+
+    def sums(self, model: Content, w: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Gradient and Hessian over the documents whose metadata has a weight."""
 
-        def of(x: np.ndarray, combo: np.ndarray) -> np.ndarray:
-            some = weight[combo] > 0
-            g, h = Logistic.sums(model._ready(x[some]), label[combo[some]], weight[combo[some]], w)
+        def of(df: pd.DataFrame) -> np.ndarray:
+            df = df[weight[df["combo"].to_numpy()] > 0]
+            if not len(df):
+                return np.zeros(len(w) * (len(w) + 1))
+            combo = df["combo"].to_numpy()
+            g, h = Logistic.sums(model._ready(model.features(df)), label[combo], weight[combo], w)
             return np.concatenate((g, h.ravel()))
 
         made, n = self._summed(of), len(w)
@@ -212,7 +283,8 @@ def _deviations(n: float, sums: np.ndarray, squares: np.ndarray) -> tuple[np.nda
 class CoTrained:
     """Both views' calibrated classifiers and the base rate."""
 
-    def __init__(self, sample: tuple[np.ndarray, np.ndarray], y: np.ndarray, free: Unlabelled):
+    def __init__(self, sample: pd.DataFrame, y: np.ndarray, free: Unlabelled):
+        """sample: (x, g, combo) of the labelled documents; y: whether each is good."""
         self.base = 0.0
         self.models: list[Logistic] = []
         if len(set(y.tolist())) < 2:
@@ -221,16 +293,19 @@ class CoTrained:
         if len(set(y[held].tolist())) < 2 or len(set(y[~held].tolist())) < 2:
             held = np.ones(len(y), bool)
         learn = ~held if not held.all() else held
-        (text, meta), z = (v[learn] for v in sample), y[learn].astype(float)
-        n, s, q = np.split(free.moments(), (1, 1 + TEXT_FEATURES))
-        content = Logistic(*_deviations(n[0] + len(text), s + text.sum(0), q + (text * text).sum(0))).fit(text, z)
+        known, z, pages = sample[learn], y[learn].astype(float), _meta_rows(sample["combo"].to_numpy(int))
+        x, meta, shares = np.array(known["x"].tolist()), pages[learn], _shares(known["g"])
+        own_sums = Lexicon.sums(shares, z, 1 - z)
+        n, s, q = np.split(free.moments(), (1, TEXT_FEATURES))
+        content = Content(*_deviations(n[0] + len(x), s + x.sum(0), q + (x * x).sum(0)), Lexicon(own_sums))
+        content.fit(content.features(known), z)
         page = Logistic(meta.mean(0), meta.std(0)).fit(meta, z)
         everywhere = free.counts(None)[0]  # documents by metadata
         rows = _meta_rows(COMBOS)
         labelled = np.array([z.sum(), len(z) - z.sum()])
 
         def calibrated() -> list[Logistic]:
-            return [m.calibrate(v[held], y[held]) for m, v in zip((content, page), sample, strict=True)]
+            return [content.calibrate(content.features(sample[held]), y[held]), page.calibrate(pages[held], y[held])]
 
         self.models = calibrated()
         for _ in range(ROUNDS if n[0] else 0):
@@ -242,21 +317,25 @@ class CoTrained:
             weight = np.where(p >= SURE, share[1][0], np.where(1 - p >= SURE, share[1][1], 0.0))
 
             good, bad = (np.flatnonzero(c) for c in sure)
-            x = np.vstack((meta, rows[good], rows[bad]))
             t = np.concatenate((z, np.ones(len(good)), np.zeros(len(bad))))
             u = np.concatenate((np.ones(len(z)), share[0][0] * sure[0][good], share[0][1] * sure[1][bad]))
-            mean, scale = _deviations(u.sum(), u @ x, u @ (x * x))
-            page = Logistic(mean, scale).fit(x, t, u)
-            content.fit(text, z, more=(lambda w, label=label, weight=weight: free.sums(content, w, label, weight)) if told.any() else None)
+            all_pages = np.vstack((meta, rows[good], rows[bad]))
+            page = Logistic(*_deviations(u.sum(), u @ all_pages, u @ (all_pages * all_pages))).fit(all_pages, t, u)
+            more = None
+            if told.any():
+                content.lexicon = Lexicon(own_sums + free.lexical_sums(label, weight))
+                more = lambda w, label=label, weight=weight: free.sums(content, w, label, weight)
+            content.fit(content.features(known), z, more=more)
             self.models = calibrated()
         rate = y.mean()
         self.base = float(np.log(rate / (1 - rate)))
 
-    def scores(self, x: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-        """Columns: by content, by metadata, combined."""
+    def scores(self, df: pd.DataFrame, meta: np.ndarray) -> np.ndarray:
+        """Columns: by content (x, g of df), by metadata, combined."""
         if not self.models:
-            return np.ones((len(x[0]), 3))
-        odds = [m.odds(v) for m, v in zip(self.models, x, strict=True)]
+            return np.ones((len(df), 3))
+        content, page = self.models
+        odds = content.odds(content.features(df)), page.odds(meta)
         return np.column_stack([_sigmoid(odds[0]), _sigmoid(odds[1]), _sigmoid(odds[0] + odds[1] - self.base)])
 
 
@@ -269,17 +348,17 @@ def fitted(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> CoTr
     known = narrow(labels, "doc_id", "quality").filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     texts = narrow(docs, "doc_id", "text", "lang", "source", "n_chars").filter("doc_id is not null")
 
-    @F.pandas_udf("struct<x: array<double>, combo: int>")
+    @F.pandas_udf("struct<x: array<double>, g: binary, combo: int>")
     def both(text: pd.Series, lang: pd.Series, source: pd.Series, n_chars: pd.Series) -> pd.DataFrame:
         a, b = views(text, lang, source, n_chars)
-        return pd.DataFrame({"x": pd.Series(list(a), dtype=object), "combo": _combo(b).astype(np.int32)})
+        return pd.DataFrame({"x": pd.Series(list(a), dtype=object), "g": [grams(t) for t in text], "combo": _combo(b).astype(np.int32)})
 
     one = texts.select("doc_id", both("text", "lang", "source", "n_chars").alias("v")).groupBy("doc_id").agg(F.min("v").alias("v"))
     made = written(one.join(known, "doc_id", "left").select("doc_id", "v.*", "quality"), "views")
-    sample = made.filter("quality is not null").orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(labelled).toPandas().sort_values("doc_id")
-    x = np.array(sample["x"].tolist()).reshape(-1, TEXT_FEATURES)
-    free = Unlabelled(made.filter("quality is null").select("x", "combo"))
-    return CoTrained((x, _meta_rows(sample["combo"].to_numpy(int))), sample["quality"].to_numpy(float) >= 1, free)
+    sample = made.filter("quality is not null").orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(labelled).toPandas().sort_values("doc_id", ignore_index=True)
+    model = CoTrained(sample, sample["quality"].to_numpy(float) >= 1, Unlabelled(made.filter("quality is null").select("x", "g", "combo")))
+    dropped(made)
+    return model
 
 
 def scored(docs: DataFrame, labels: DataFrame, keep: float = 0.5, labelled: int = LABELLED) -> DataFrame:
@@ -287,13 +366,16 @@ def scored(docs: DataFrame, labels: DataFrame, keep: float = 0.5, labelled: int
 
     docs: (doc_id, text, lang, source, n_chars and any others, but for those that are added); labels: (doc_id, quality), 1 for good. A document with
     several labels takes the lowest. Null or empty texts and null metadata have features of their own. Without labels
-    of both kinds all scores are 1. Rows keep their number; the model doesn't depend on their order.
+    of both kinds all scores are 1. Rows keep their number; the model doesn't depend on their order. An empty table gives no
+    rows; a text of any length counts whole.
     """
     model = fitted(docs, labels, labelled)
 
     @F.pandas_udf("struct<text_score: double, meta_score: double, score: double>")
     def score(text: pd.Series, lang: pd.Series, source: pd.Series, n_chars: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame(model.scores(views(text, lang, source, n_chars)).round(6), columns=["text_score", "meta_score", "score"])
+        x, meta = views(text, lang, source, n_chars)
+        content = pd.DataFrame({"x": list(x), "g": [grams(t) for t in text]})
+        return pd.DataFrame(model.scores(content, meta).round(6), columns=["text_score", "meta_score", "score"])
 
     found = docs.select(packed(docs).alias("row"), score("text", "lang", "source", "n_chars").alias("s"))
     own = ("text_score", "meta_score", "score", "keep")

@@ -1,11 +1,13 @@
 """Near duplicates by SimHash fingerprints, matched through a hierarchical index in Gray order.
 
-Distinct fingerprints are dealt out by equal 16-bit blocks: of two that differ in `bits` or fewer bits, at least one of
-bits + 1 blocks is equal. Inside a block value the fingerprints are sorted by Gray rank, so that neighbours share bit
-patterns; upper nodes hold the bits that all their members share (a mask and a pattern), and pairs of nodes are
-followed downwards while the differences accumulated over the shared bits stay within the limit. A block value with
-more than `max_group` fingerprints is dealt out again by sub-blocks of the bits that are left, which loses no pair.
-A task only returns a spanning forest of what it has linked, never all pairs of a group.
+All distinct fingerprints are sorted by Gray rank, so that neighbours share bit patterns, and cut into blocks. A node of
+the index holds the bits in which all its members agree: a pattern and a mask, factored out of them. Upper nodes stand
+for ranges of blocks, and pairs of nodes are followed downwards, by joins, while the differences accumulated over their
+shared bits stay within the limit; whole groups go with a pair that doesn't. Only the members of pairs of blocks that are
+left meet in a task, where the same descent goes on over the nodes inside the blocks, down to leaves of 32 fingerprints.
+A pair that differs in `bits` or fewer bits can't be pruned, so none is lost; and as each level shares some more bits, a
+fingerprint meets a number of others that grows with a power of the logarithm of their number only. A task returns a
+spanning forest of what it has linked, never all pairs of a group.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ SEED = 42
 CHUNK = 1 << 16  # shingles whose bits are counted at once
 LEAF, FAN = 32, 8  # fingerprints in a leaf, children of a node
 PAIRS = 1 << 15  # node pairs that are opened at once
+BLOCK = 1 << 14  # fingerprints of a block, whose pairs are dealt out
 
 
 def fingerprint(text: str | None, words: int = 3) -> int:
@@ -87,138 +90,135 @@ def _levels(fps: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         width *= FAN
 
 
-def _opened(i: np.ndarray, j: np.ndarray, fan: int, size: int, *more: np.ndarray) -> tuple[np.ndarray, ...]:
-    """All pairs of a child of i and a child of j, those in order only where i and j are the same node."""
+def _opened(i: np.ndarray, j: np.ndarray, fan: int, sizes: tuple[int, int], same: bool, *more: np.ndarray) -> tuple[np.ndarray, ...]:
+    """All pairs of a child of i and a child of j; inside one block each pair once, and none of a member with itself."""
     k = np.arange(fan)
     a, b = (i[:, None, None] * fan + k[None, :, None]), (j[:, None, None] * fan + k[None, None, :])
     a, b = np.broadcast_arrays(a, b)
-    keep = (a < size) & (b < size) & ((a <= b) if fan != LEAF else (a < b))
+    keep = (a < sizes[0]) & (b < sizes[1])
+    if same:
+        keep &= (a <= b) if fan != LEAF else (a < b)
     return a[keep], b[keep], *(np.broadcast_to(x[:, None, None], a.shape)[keep] for x in more)
 
 
-def link_sorted(fps: np.ndarray, bits: int, parent: np.ndarray) -> None:
-    """Merge in parent all fingerprints (in Gray order) that differ in `bits` or fewer bits."""
-    levels = _levels(fps)
-    top = len(levels) - 1
-    n = len(levels[top][0])
-    i, j = np.triu_indices(n)
+def linked(one: np.ndarray, two: np.ndarray | None, bits: int) -> np.ndarray:
+    """The root of each member of block one, then of block two (None: pairs inside one), all in Gray order.
+
+    Members whose fingerprints differ in `bits` or fewer bits come under one root.
+    """
+    same = two is None
+    sides = (one, one if same else two)
+    shift = 0 if same else len(one)
+    parent = np.arange(len(one) if same else len(one) + len(two))
+    levels = [_levels(x) for x in sides]
+    while len(levels[0]) != len(levels[1]):  # blocks of unequal size: the lower tree gets a root
+        low = min(levels, key=len)
+        pattern, mask = low[-1]
+        common = np.bitwise_and.reduce(pattern, keepdims=True)
+        low.append((common, np.bitwise_and.reduce(mask, keepdims=True) & ~(np.bitwise_or.reduce(pattern, keepdims=True) ^ common)))
+    top = len(levels[0]) - 1
+    n, m = (len(x[top][0]) for x in levels)
+    i, j = np.triu_indices(n) if same else (x.ravel() for x in np.indices((n, m)))
     stack = [(top, i, j, np.zeros(len(i), np.uint64), np.zeros(len(i), np.int64))]
     while stack:
         level, i, j, seen, acc = stack.pop()
         if len(i) > PAIRS:
             stack += [(level, *(x[k : k + PAIRS] for x in (i, j, seen, acc))) for k in range(0, len(i), PAIRS)]
             continue
-        pattern, mask = levels[level]
-        shared = mask[i] & mask[j]
-        acc = acc + np.bitwise_count((pattern[i] ^ pattern[j]) & shared & ~seen)
+        (pattern, mask), (other, others_mask) = levels[0][level], levels[1][level]
+        shared = mask[i] & others_mask[j]
+        acc = acc + np.bitwise_count((pattern[i] ^ other[j]) & shared & ~seen)
         near = acc <= bits
         i, j, shared, acc = i[near], j[near], shared[near], acc[near]
         if level:
-            stack.append((level - 1, *_opened(i, j, FAN, len(levels[level - 1][0]), shared, acc)))
+            stack.append((level - 1, *_opened(i, j, FAN, (len(levels[0][level - 1][0]), len(levels[1][level - 1][0])), same, shared, acc)))
             continue
         for k in range(0, len(i), PAIRS // 8):
-            a, b, known, so_far = _opened(i[k : k + PAIRS // 8], j[k : k + PAIRS // 8], LEAF, len(fps), shared[k : k + PAIRS // 8], acc[k : k + PAIRS // 8])
-            close = so_far + np.bitwise_count((fps[a] ^ fps[b]) & ~known) <= bits
-            _merge(parent, a[close], b[close])
-
-
-def _link_groups(key: np.ndarray, fps: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (member, root) of a spanning forest of each group of equal keys; key and, inside it, Gray rank are in order."""
-    parent, n = np.arange(len(fps)), len(fps)
-    at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-    sizes = np.diff(np.concatenate((at, [n])))
-    group = np.repeat(np.arange(len(at)), sizes)
-    leaf = sizes <= LEAF  # such a group is a single leaf: its members are compared directly
-    for d in range(1, int(sizes[leaf].max(initial=1))):
-        a = np.flatnonzero((group[:-d] == group[d:]) & leaf[group[:-d]])
-        if not len(a):
-            break
-        close = np.bitwise_count(fps[a] ^ fps[a + d]) <= bits
-        _merge(parent, a[close], a[close] + d)
-    for g in np.flatnonzero(~leaf):
-        part = slice(at[g], at[g] + sizes[g])
-        own = np.arange(sizes[g])
-        link_sorted(fps[part], bits, own)
-        parent[part] = own + at[g]
-    moved = np.flatnonzero(parent != np.arange(n))
-    return moved, parent[moved]
-
-
-def _edges(bits: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-
-        def linked(df: pd.DataFrame) -> pd.DataFrame:
-            fps = df["fp"].to_numpy(np.int64).view(np.uint64)
-            a, b = _link_groups(df["key"].to_numpy(), fps, bits)
-            fps = fps.view(np.int64)
-            return pd.DataFrame({"u": fps[a], "v": fps[b]})
-
-        for df in batches:
-            if not len(df):
-                continue
-            last = df["key"].iloc[-1]
-            cut = int(np.searchsorted(df["key"].to_numpy(), last, "left"))
-            if cut:
-                yield linked(pd.concat([*held, df.iloc[:cut]]))
-                held = []
-            held.append(df.iloc[cut:])
-        if held:
-            yield linked(pd.concat(held))
-
-    return run
-
-
-def _parts(total: int, count: int) -> list[tuple[int, int]]:
-    """(shift, width) of `count` blocks that cover `total` bits."""
-    at = [total * k // count for k in range(count + 1)]
-    return [(a, b - a) for a, b in zip(at, at[1:], strict=False)]
-
-
-def _squeezed(rest: Column, shift: int, width: int) -> Column:
-    """`rest` without the block at shift."""
-    low = rest.bitwiseAND(F.lit((1 << shift) - 1))
-    high = F.shiftrightunsigned(rest, shift + width) if shift + width < 64 else F.lit(0).cast("bigint")
-    return low.bitwiseOR(F.shiftleft(high, shift))
-
-
-def linked_fingerprints(distinct: DataFrame, bits: int = 3, max_group: int = 20_000) -> DataFrame:
+            own = slice(k, k + PAIRS // 8)
+            a, b, known, so_far = _opened(i[own], j[own], LEAF, (len(sides[0]), len(sides[1])), same, shared[own], acc[own])
+            close = so_far + np.bitwise_count((sides[0][a] ^ sides[1][b]) & ~known) <= bits
+            _merge(parent, a[close], b[close] + shift)
+    return parent
+
+
+def _blocks(distinct: DataFrame, block: int) -> tuple[DataFrame, int]:
+    """(id, low, high, members) of blocks in Gray order, and a bound of the ids.
+
+    id >> 4 is the range of Gray ranks that a block is in; members are the fingerprints as bytes, low and high their
+    bitwise and and or.
+    """
+    parts = max(1, -(-distinct.count() // (4 * block)))
+    ordered = distinct.select("fp", gray_rank(F.col("fp")).alias("rank")).repartitionByRange(parts, "rank").sortWithinPartitions("rank")
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = [df for df in batches if len(df)]
+        if not held:
+            return
+        part, fps = int(held[0]["part"].iloc[0]), np.concatenate([df["fp"].to_numpy(np.int64) for df in held])
+        size = max(block, -(-len(fps) // 16))
+        made = [fps[k : k + size] for k in range(0, len(fps), size)]
+        yield pd.DataFrame({
+            "id": [16 * part + k for k in range(len(made))],
+            "low": [np.bitwise_and.reduce(x) for x in made],
+            "high": [np.bitwise_or.reduce(x) for x in made],
+            "members": [x.tobytes() for x in made],
+        })
+
+    rows = ordered.select("fp", F.spark_partition_id().alias("part")).mapInPandas(cut, "id bigint, low bigint, high bigint, members binary")
+    blocks = written(rows, "fingerprint-blocks")
+    return blocks, (blocks.agg(F.max("id")).first()[0] or 0) + 1
+
+
+def block_pairs(blocks: DataFrame, bound: int, bits: int) -> DataFrame:
+    """(i, j), i <= j: the blocks that no difference in their nodes' shared bits keeps apart, by descent from the top."""
+    spark, top = blocks.sparkSession, 0
+    while bound >> (4 * top) > 16:
+        top += 1
+    count = (bound >> (4 * top)) + 1
+    pairs = spark.range(count).select(F.col("id").alias("i"), F.explode(F.sequence("id", F.lit(count - 1))).alias("j"), F.lit(0).cast("bigint").alias("seen"), F.lit(0).alias("acc"))
+    for level in range(top, -1, -1):
+        node = F.shiftright("id", 4 * level).alias("node")
+        nodes = blocks.groupBy(node).agg(F.bit_and("low").alias("low"), F.bit_or("high").alias("high")).select("node", "low", F.bitwise_not(F.col("low").bitwiseXOR(F.col("high"))).alias("mask"))
+        one, two = (nodes.select(F.col("node").alias(x), F.col("low").alias(f"low_{x}"), F.col("mask").alias(f"mask_{x}")) for x in ("i", "j"))
+        met = pairs.join(one, "i").join(two, "j").withColumn("both", F.col("mask_i").bitwiseAND(F.col("mask_j")))
+        apart = F.col("low_i").bitwiseXOR(F.col("low_j")).bitwiseAND(F.col("both")).bitwiseAND(F.bitwise_not("seen"))
+        near = met.withColumn("acc", F.col("acc") + F.bit_count(apart)).filter(F.col("acc") <= bits).select("i", "j", F.col("both").alias("seen"), "acc")
+        if level:
+            children = lambda x: F.explode(F.sequence(F.shiftleft(x, 4), F.shiftleft(x, 4) + 15)).alias(x)
+            near = near.select(children("i"), "j", "seen", "acc").select("i", children("j"), "seen", "acc").filter("i <= j")
+        pairs = near
+    return pairs.select("i", "j")
+
+
+def linked_fingerprints(distinct: DataFrame, bits: int = 3, block: int = BLOCK) -> DataFrame:
     """Edges (u, v) that join all fingerprints of `distinct` (fp) into the components of "differs in `bits` or fewer bits"."""
-    spark = distinct.sparkSession
-
-    def blocks(total: int) -> Column:
-        """Each block's key, which keeps the key so far apart, and the bits that are left."""
-        made = []
-        for k, (shift, width) in enumerate(_parts(total, bits + 1)):
-            value = F.shiftrightunsigned("rest", shift).bitwiseAND(F.lit((1 << width) - 1))
-            made.append(F.struct(F.xxhash64("key", F.lit(k), value).alias("key"), _squeezed(F.col("rest"), shift, width).alias("rest")))
-        return F.array(*made)
-
-    left, now, done = 64, distinct.select("fp", F.col("fp").alias("rest"), F.lit(0).cast("bigint").alias("key")), None
-    for _ in range(3):
-        now = now.select("fp", F.explode(blocks(left)).alias("b")).select("fp", "b.rest", "b.key")
-        left -= min(w for _, w in _parts(left, bits + 1))
-        hot = written(now.groupBy("key").count().filter(F.col("count") > max_group).select("key"), "hot-blocks")
-        if hot.isEmpty():
-            break
-        done_now = now.join(hot, "key", "left_anti").select("fp", "key")
-        done = done_now if done is None else done.union(done_now)
-        now = written(now.join(hot, "key", "left_semi").select("fp", "rest", "key"), "hot-fingerprints")
-    rows = now.select("fp", "key") if done is None else done.union(now.select("fp", "key"))
-    ordered = rows.repartition("key").sortWithinPartitions("key", gray_rank(F.col("fp"))).select("key", "fp")
-    return ordered.mapInPandas(_edges(bits), "u bigint, v bigint")
-
-
-def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 3, max_group: int = 20_000) -> DataFrame:
+    blocks, bound = _blocks(distinct, block)
+    pairs = written(block_pairs(blocks, bound, bits), "block-pairs")
+    ends = pairs.select("i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("id"))
+
+    def run(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
+        at = {int(k): np.frombuffer(m, np.int64) for k, m in zip(df["id"], df["members"], strict=True)}
+        one, two = at[int(key[0])], at[int(key[1])]
+        same = key[0] == key[1]
+        parent = linked(one.view(np.uint64), None if same else two.view(np.uint64), bits)
+        fps = one if same else np.concatenate((one, two))
+        moved = np.flatnonzero(parent != np.arange(len(parent)))
+        return pd.DataFrame({"u": fps[moved], "v": fps[parent[moved]]})
+
+    return ends.join(blocks.select("id", "members"), "id").groupBy("i", "j").applyInPandas(run, "u bigint, v bigint")
+
+
+def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 3, block: int = BLOCK) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of docs (doc_id, text; other columns are ignored).
 
     component_id is the smallest doc_id that is reachable over links, the row's own included. A null text counts as
     empty; texts without a word have fingerprint zero and link like any other. Rows with a null doc_id keep their
-    fingerprint, link with nothing and have a null component. Repeated rows are returned as often as they come.
+    fingerprint, link with nothing and have a null component. Repeated rows are returned as often as they come; an empty
+    table gives no rows. A text of any length counts whole.
     """
     fps = written(fingerprints(docs, words), "fingerprints")
     distinct = written(fps.filter("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
-    found = connected_components(linked_fingerprints(distinct, bits, max_group))
+    found = connected_components(linked_fingerprints(distinct, bits, block))
     named = distinct.join(found.withColumnRenamed("id", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("component_id", "fp").alias("c"))
     least = named.groupBy("c").agg(F.min("first_id").alias("component_id"))
     named = named.join(least, "c").select("fp", "component_id")

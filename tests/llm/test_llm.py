@@ -60,11 +60,11 @@ def plain_fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
-@pytest.mark.parametrize("max_group", [1, 20_000])
-def test_op2_simhash(spark, max_group):
+@pytest.mark.parametrize("block", [3, simhash.BLOCK])
+def test_op2_simhash(spark, block):
     texts = [*ODD, *(prose(9, 200 + k // 4) for k in range(12)), *(prose(k, 30) for k in range(40, 60))]
     docs = documents(spark, [*texts, "null id"], [*range(len(texts)), None]).unionByName(documents(spark, ["A"], [3]))
-    got = simhash.near_duplicates(docs, max_group=max_group).collect()
+    got = simhash.near_duplicates(docs, block=block).collect()
     ids, texts = [*range(len(texts)), 3], [*texts, "A"]
     fps = [plain_fingerprint(t) for t in texts]
     comp = list(ids)
@@ -87,13 +87,33 @@ def test_simhash_index_finds_all_pairs():
     for k in (1, 2, 4, 8, 16, 32):
         gray ^= gray >> np.uint64(k)
     fps = fps[np.argsort(gray)]
-    own, expected = np.arange(len(fps)), np.arange(len(fps))
-    simhash.link_sorted(fps, 3, own)
+    expected = np.arange(len(fps))
     simhash._merge(expected, *np.nonzero(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 3))
+    own = simhash.linked(fps, None, 3)
     assert (own == expected).all() and len(set(own)) < len(fps)
-
-
-def plain_lines(rows, t=0.8, least=5):
+    for cut in (1, 40, 400):  # two blocks, of unequal size
+        one, two = fps[:cut], fps[cut:]
+        root = np.arange(len(fps))
+        a, b = np.nonzero(np.bitwise_count(one[:, None] ^ two[None, :]) <= 3)
+        simhash._merge(root, a, b + cut)
+        assert (simhash.linked(one, two, 3) == root).all()
+
+
+def test_simhash_upper_nodes_prune_and_lose_nothing(spark):
+    """On fingerprints of documents' kind: most pairs of blocks are pruned by upper nodes, none of those with a link."""
+    r = np.random.default_rng(5)
+    base = r.integers(0, 1 << 63, 1500, dtype=np.uint64) * np.uint64(2)
+    fps = np.unique(np.concatenate([base, base[:150] ^ (np.uint64(1) << r.integers(0, 64, 150).astype(np.uint64))])).view(np.int64)
+    distinct = spark.createDataFrame([(int(x),) for x in fps], "fp bigint")
+    blocks, bound = simhash._blocks(distinct, 4)
+    found = {(x["i"], x["j"]) for x in simhash.block_pairs(blocks, bound, 3).collect()}
+    members = {x["id"]: np.frombuffer(x["members"], np.uint64) for x in blocks.collect()}
+    assert sum(map(len, members.values())) == len(fps) and len(found) < 0.4 * len(members) * (len(members) + 1) / 2
+    linked = {(i, j) for i in members for j in members if i < j and (np.bitwise_count(members[i][:, None] ^ members[j][None, :]) <= 3).any()}
+    assert linked and linked <= found
+
+
+def plain_lines(rows, t=0.8, least=1):
     seen, gone = [], set()
     for i, text in sorted((i, x) for i, x in rows if i is not None and x is not None):
         for k, line in enumerate(text.split("\n")):
@@ -105,7 +125,10 @@ def plain_lines(rows, t=0.8, least=5):
     return gone
 
 
-def test_op10_line_dedup(spark):
+@pytest.mark.parametrize("frequent", [8, lines.FREQUENT])  # nearly all words are listed in pairs, or none
+def test_op10_line_dedup(spark, monkeypatch, frequent):
+    monkeypatch.setattr(lines, "FREQUENT", frequent)
+    monkeypatch.setattr(lines, "COUNTERS", 1 << 14)
     r, texts = random.Random(6), []
     for k in range(60):
         own = [" ".join(f"w{int(r.paretovariate(0.6)) % 400}" for _ in range(r.randint(0, 25))) for _ in range(r.randint(0, 5))]
@@ -127,6 +150,28 @@ def test_op10_line_dedup(spark):
     assert lines.deduplicated(docs.limit(0)).count() == 0
 
 
+def test_op10_long_and_short_lines(spark):
+    """Families around the size where parity bits double, sets of one to five words, and rows that share a doc_id."""
+    r, texts = random.Random(8), ["yes", "Yes", "no yes", "yes no", "a b c d", "a b c d e", "a b c e", "x y z", "x y"]
+    for size in (20, 63, 64, 65, 66, 100, 300):
+        base = [f"s{size}w{k}" for k in range(size)]
+        for _ in range(12):
+            own = r.sample(base, r.randint(int(0.86 * size), size)) + [f"n{r.randrange(10**6)}" for _ in range(r.randrange(size // 10))]
+            texts.append(" ".join(own))
+    r.shuffle(texts)
+    out = {x["doc_id"]: x["n_removed"] for x in lines.deduplicated(documents(spark, texts)).collect()}
+    gone = plain_lines(enumerate(texts))
+    assert {i for i, n in out.items() if n} == {i for i, _ in gone} and 20 < len(gone) < len(texts) - 20
+    again = lines.deduplicated(documents(spark, ["a b c d\nall new here", "a b c d\ne f g h\n \t", "a b c d\ne f g h\n \t"], [1, 2, 2])).collect()
+    assert Counter(x["text"] for x in again) == {"a b c d\nall new here": 1, "e f g h\n \t": 2}
+
+
+def test_op10_rarity_tells_frequent_words_apart(spark):
+    counts = [1, 2, 3, 1 << 15, 1 << 16, 1 << 20, 1 << 30, 1 << 41]
+    levels = [x[0] for x in spark.createDataFrame([(n,) for n in counts], "n bigint").select(lines.level_of(F.col("n"))).collect()]
+    assert levels == sorted(set(levels)) and levels[-1] < 127
+
+
 def test_op1_mixing(spark):
     r = random.Random(3)
     rows = [(i, prose(i, r.randint(0, 40)), r.choice(["en", "de", None]), r.choice(["src0"] * 5 + ["src1", "src2", "other", None]), 1, "w", "k", "r", 1) for i in range(300)]
@@ -135,7 +180,7 @@ def test_op1_mixing(spark):
     leaves = defaultdict(list)
     for i, text, lang, source, *_ in rows:
         number = re.findall("[0-9]+", source or "")
-        leaves[(mixing.DOMAINS[int(number[0]) % 3] if number else "other", lang or "", source or "")].append((i, len((text or "").split())))
+        leaves[(mixing.DOMAINS[int(number[0]) % 3] if number else "other", lang or "", source or "")].append((i, len(packing.token_ids(text)) - 1))
     sizes = {k: sum(n for _, n in v) for k, v in leaves.items()}
     given = mixing.budgets(sizes, int(Fraction("0.9") * sum(sizes.values())), ({"web": 1, "reference": 9, "community": 5}, mixing.LANG_WEIGHTS, {}), 3)
     expected = Counter()
@@ -385,6 +430,45 @@ def test_op5_evidence_reaches_all_repeats():
     assert np.abs(at - exact / exact.sum(axis=1, keepdims=True)).max() < 1e-3
 
 
+@pytest.mark.parametrize("count", [None, 1024])  # as registered for a small table, and for the largest ones
+def test_op7_recall_at_production_parameters(spark, count):
+    r = np.random.default_rng(3)
+    a, n = r.normal(size=(2, 700, 64))
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    n -= (n * a).sum(axis=1)[:, None] * a
+    n /= np.linalg.norm(n, axis=1)[:, None]
+    cosine = np.repeat([0.9805, 0.985], 350)[:, None]
+    rows = [(k, [float(x) for x in v], 1) for k, v in enumerate(np.concatenate([a, cosine * a + np.sqrt(1 - cosine**2) * n]))]
+    got = pivots.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int"), pivots=count).collect()
+    assert sum(x["n_links"] for x in got) >= 0.99 * 1400 and {x["n_links"] for x in got} <= {0, 1}
+    assert pivots.number_of_pivots(10_000) == 128 and pivots.number_of_pivots(10**9) == 1024
+
+
+def test_op8_a_round_is_that_of_plain_sums(spark):
+    """The sums over unlabelled documents that tasks make, against numpy on all of them."""
+    texts = [prose(k, 5 + k % 30) if k % 3 else "x " * (k + 1) for k in range(60)]
+    x, g = np.array([quality.text_view(t) for t in texts]), [quality.grams(t) for t in texts]
+    combo = np.arange(60) % 7
+    df = spark.createDataFrame([(list(map(float, a)), bytearray(b), int(c)) for a, b, c in zip(x, g, combo, strict=True)], "x array<double>, g binary, combo int")
+    free = quality.Unlabelled(df.repartition(5))
+    label, weight = (np.arange(len(quality.COMBOS)) % 2).astype(float), (np.arange(len(quality.COMBOS)) % 3 / 2).astype(float)
+    shares = np.array([np.frombuffer(b, np.uint8) for b in g]) / 255
+    u, y = weight[combo], label[combo]
+    plain = np.array([[w.sum(), *(w @ shares), *(w @ (shares * shares))] for w in (u * y, u * (1 - y))])
+    assert np.allclose(free.lexical_sums(label, weight), plain)
+    lexicon = quality.Lexicon(plain)
+    apart = lexicon.score(shares)
+    model = quality.Content(x.mean(0), x.std(0), lexicon)
+    rows = np.column_stack((np.clip((np.column_stack((x, apart)) - model.mean) / model.scale, -8, 8), np.ones(60)))
+    w = np.linspace(-0.2, 0.2, rows.shape[1])
+    p = 1 / (1 + np.exp(-(rows @ w)))
+    gradient, hessian = free.sums(model, w, label, weight)
+    assert np.allclose(gradient, rows.T @ (u * (y - p))) and np.allclose(hessian, (rows * (u * p * (1 - p))[:, None]).T @ rows)
+    model.w = w
+    sure = free.counts(model)
+    assert sure.sum() == (p >= quality.SURE).sum() + (1 - p >= quality.SURE).sum() and free.counts(None)[0].sum() == 60
+
+
 def test_op8_all_unlabelled_documents_take_part(spark, monkeypatch):
     r, rows = random.Random(9), []
     for i in range(6000):

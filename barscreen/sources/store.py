@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barscreen.config import Actions, Indicators
@@ -66,11 +66,13 @@ class Store:
             self._fs(path).delete(path, True)
 
     def upsert(self, name: str, rows: DataFrame) -> None:
-        """Rows take the place of those with the same key."""
+        """Rows take the place of those with the same key; of several new ones with one key the last counts."""
         columns, key = [c.split()[0] for c in TABLES[name][0].split(", ")], list(TABLES[name][1])
         missing = {c: F.lit(None) for c in columns if c not in rows.columns}
         new = rows.withColumns(missing).select(*columns) if missing else rows.select(*columns)
-        new = self.spark.createDataFrame([], TABLES[name][0]).unionByName(new).dropDuplicates(key)
+        arrived = self.spark.createDataFrame([], TABLES[name][0]).unionByName(new).withColumn("_arrived", F.monotonically_increasing_id())
+        last = Window.partitionBy(*key).orderBy(F.col("_arrived").desc())
+        new = arrived.withColumn("_nth", F.row_number().over(last)).filter("_nth = 1").select(*columns)
         self.replace(name, self.table(name).join(new.select(*key), key, "left_anti").select(*columns).unionByName(new))
 
     # -- bars -------------------------------------------------------------------------------------------------

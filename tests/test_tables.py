@@ -72,6 +72,16 @@ def test_blank_closes_stay_and_short_rows_go(spark, tmp_path):
     assert got["CCC"]["close"] is None and got["CCC"]["isin"] == "I,\nN" and got["CCC"]["trades"] is None
 
 
+def test_the_last_of_repeated_actions_counts(spark, tmp_path):
+    rows = [{"symbol": "AAA", "series": "EQ", "exDate": "16-Jun-2025", "subject": f"Bonus {k}:1", "isin": "I", "faceVal": "2"} for k in (4, 1)]
+    store = Store(spark, str(tmp_path))
+    actions = read_actions(spark, put(tmp_path / "a.json", json.dumps(rows)), Universe())
+    same = actions.withColumn("subject", F.lit("Bonus"))
+    store.add_actions(same)
+    kept = store.table("corporate_actions").collect()
+    assert len(kept) == 1 and kept[0]["adj_factor"] == 2.0
+
+
 def test_action_files(spark, tmp_path):
     rows = [
         {"symbol": "AAA", "series": "EQ", "exDate": "16-Jun-2025", "subject": "Bonus 4:1", "isin": "I", "faceVal": "2"},

@@ -178,15 +178,13 @@ def block_pairs(blocks: DataFrame, bound: int, bits: int) -> DataFrame:
     pairs = spark.range(count).select(F.col("id").alias("i"), F.explode(F.sequence("id", F.lit(count - 1))).alias("j"), F.lit(0).cast("bigint").alias("seen"), F.lit(0).alias("acc"))
     for level in range(top, -1, -1):
         node = F.shiftright("id", 4 * level).alias("node")
-        nodes = blocks.groupBy(node).agg(F.bit_and("low").alias("low"), F.bit_or("high").alias("high")).select("node", "low", F.bitwise_not(F.col("low").bitwiseXOR(F.col("high"))).alias("mask"))
-        one, two = (nodes.select(F.col("node").alias(x), F.col("low").alias(f"low_{x}"), F.col("mask").alias(f"mask_{x}")) for x in ("i", "j"))
-        met = pairs.join(one, "i").join(two, "j").withColumn("both", F.col("mask_i").bitwiseAND(F.col("mask_j")))
+        nodes = blocks.groupBy(node).agg(F.bit_and("low").alias("low"), F.bit_or("high").alias("high"))
+        nodes = nodes.select("node", (F.col("node") if level == top else F.shiftright("node", 4)).alias("up"), "low", F.bitwise_not(F.col("low").bitwiseXOR(F.col("high"))).alias("mask"))
+        above = pairs.select(F.col("i").alias("up_i"), F.col("j").alias("up_j"), "seen", "acc")
+        one, two = (nodes.select(F.col("up").alias(f"up_{x}"), F.col("node").alias(x), F.col("low").alias(f"low_{x}"), F.col("mask").alias(f"mask_{x}")) for x in ("i", "j"))
+        met = above.join(one, "up_i").join(two, "up_j").filter("i <= j").withColumn("both", F.col("mask_i").bitwiseAND(F.col("mask_j")))
         apart = F.col("low_i").bitwiseXOR(F.col("low_j")).bitwiseAND(F.col("both")).bitwiseAND(F.bitwise_not("seen"))
-        near = met.withColumn("acc", F.col("acc") + F.bit_count(apart)).filter(F.col("acc") <= bits).select("i", "j", F.col("both").alias("seen"), "acc")
-        if level:
-            children = lambda x: F.explode(F.sequence(F.shiftleft(x, 4), F.shiftleft(x, 4) + 15)).alias(x)
-            near = near.select(children("i"), "j", "seen", "acc").select("i", children("j"), "seen", "acc").filter("i <= j")
-        pairs = near
+        pairs = met.withColumn("acc", F.col("acc") + F.bit_count(apart)).filter(F.col("acc") <= bits).select("i", "j", F.col("both").alias("seen"), "acc")
     return pairs.select("i", "j")
 
 

@@ -176,8 +176,9 @@ class Content(Logistic):
         self.lexicon = lexicon
 
     def features(self, df: pd.DataFrame) -> np.ndarray:
-        """Of rows (x, g)."""
-        return np.column_stack((np.array(df["x"].tolist()).reshape(len(df), -1), self.lexicon.score(_shares(df["g"]))))
+        """Of rows (x, g), or (x, score) where the lexical score is known."""
+        score = df["score"].to_numpy(float) if "score" in df else self.lexicon.score(_shares(df["g"]))
+        return np.column_stack((np.array(df["x"].tolist()).reshape(len(df), -1), score))
 
 
 def _meta_rows(combos: np.ndarray) -> np.ndarray:
@@ -199,12 +200,27 @@ COMBOS = np.arange(LANGS * SOURCES * LENGTHS)
 
 
 class Unlabelled:
-    """All unlabelled documents (x: surface figures, g: grams, combo: metadata), summed in the tasks that read them."""
+    """All unlabelled documents (x: surface figures, g: grams, combo: metadata), summed in the tasks that read them.
+
+    `score` is the lexical score of g, written once for each lexicon: the many passes of a fit then read no grams.
+    """
 
     def __init__(self, df: DataFrame):
         self.df = df
+        self.scored: DataFrame | None = None
+
+    def score(self, lexicon: Lexicon) -> None:
+        """Put every document's lexical score in place of the one before."""
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for df in batches:
+                yield pd.DataFrame({"x": df["x"], "score": lexicon.score(_shares(df["g"])), "combo": df["combo"]})
+
+        before, self.scored = self.scored, written(self.df.mapInPandas(run, "x array<double>, score double, combo int"), "lexical-scores")
+        if before is not None:
+            dropped(before)
 
-    def _summed(self, of: Callable[[pd.DataFrame], np.ndarray]) -> np.ndarray:
+    def _summed(self, rows: DataFrame, of: Callable[[pd.DataFrame], np.ndarray]) -> np.ndarray:
         """The sum over all batches of `of`, an array of a fixed size: a few hundred numbers a task, added up in Spark."""
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -216,9 +232,9 @@ class Unlabelled:
             if total is not None:
                 yield pd.DataFrame({"at": range(len(total)), "s": total})
 
-        made = self.df.mapInPandas(run, "at int, s double").groupBy("at").agg(F.sort_array(F.collect_list("s")).alias("s"))  # one order for the sum
-        rows = made.select("at", F.aggregate("s", F.lit(0.0), lambda a, x: a + x).alias("s")).collect()
-        return np.array([r["s"] for r in sorted(rows)])
+        made = rows.mapInPandas(run, "at int, s double").groupBy("at").agg(F.sort_array(F.collect_list("s")).alias("s"))  # one order for the sum
+        found = made.select("at", F.aggregate("s", F.lit(0.0), lambda a, x: a + x).alias("s")).collect()
+        return np.array([r["s"] for r in sorted(found)])
 
     def moments(self) -> np.ndarray:
         """Number, sums and sums of squares of the surface figures."""
@@ -227,7 +243,7 @@ class Unlabelled:
             x = np.array(df["x"].tolist())
             return np.concatenate(([len(x)], x.sum(0), (x * x).sum(0)))
 
-        found = self._summed(of)
+        found = self._summed(self.df.select("x"), of)
         return found if len(found) else np.zeros(1 + 2 * (TEXT_FEATURES - 1))
 
     def counts(self, model: Content | None) -> np.ndarray:
@@ -244,7 +260,7 @@ class Unlabelled:
             yield pd.DataFrame({"combo": some, "good": found[0][some], "bad": found[1][some]})
 
         out = np.zeros((2, len(COMBOS)))
-        made = self.df.mapInPandas(run, "combo bigint, good bigint, bad bigint").groupBy("combo").agg(F.sum("good"), F.sum("bad"))
+        made = (self.df.select("combo") if model is None else self.scored).mapInPandas(run, "combo bigint, good bigint, bad bigint").groupBy("combo").agg(F.sum("good"), F.sum("bad"))
         for combo, good, bad in made.collect():  # a row for each metadata value, 16,384 at most
             out[:, combo] = good, bad
         return out
@@ -257,7 +273,7 @@ class Unlabelled:
             good = weight[combo] * label[combo]
             return Lexicon.sums(_shares(df["g"]), good, weight[combo] - good).ravel()
 
-        found = self._summed(of)
+        found = self._summed(self.df.select("g", "combo"), of)
         return found.reshape(2, -1) if len(found) else np.zeros((2, 1 + 2 * (WORD_SLOTS + GRAM_SLOTS)))
 
     def sums(self, model: Content, w: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -271,7 +287,7 @@ class Unlabelled:
             g, h = Logistic.sums(model._ready(model.features(df)), label[combo], weight[combo], w)
             return np.concatenate((g, h.ravel()))
 
-        made, n = self._summed(of), len(w)
+        made, n = self._summed(self.scored, of), len(w)
         return made[:n], made[n:].reshape(n, n)
 
 
@@ -308,6 +324,8 @@ class CoTrained:
             return [content.calibrate(content.features(sample[held]), y[held]), page.calibrate(pages[held], y[held])]
 
         self.models = calibrated()
+        if n[0]:
+            free.score(content.lexicon)
         for _ in range(ROUNDS if n[0] else 0):
             sure = free.counts(content)  # good and bad by content
             p = _sigmoid(page.odds(rows))
@@ -324,6 +342,7 @@ class CoTrained:
             more = None
             if told.any():
                 content.lexicon = Lexicon(own_sums + free.lexical_sums(label, weight))
+                free.score(content.lexicon)
                 more = lambda w, label=label, weight=weight: free.sums(content, w, label, weight)
             content.fit(content.features(known), z, more=more)
             self.models = calibrated()
@@ -356,8 +375,9 @@ def fitted(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> CoTr
     one = texts.select("doc_id", both("text", "lang", "source", "n_chars").alias("v")).groupBy("doc_id").agg(F.min("v").alias("v"))
     made = written(one.join(known, "doc_id", "left").select("doc_id", "v.*", "quality"), "views")
     sample = made.filter("quality is not null").orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(labelled).toPandas().sort_values("doc_id", ignore_index=True)
-    model = CoTrained(sample, sample["quality"].to_numpy(float) >= 1, Unlabelled(made.filter("quality is null").select("x", "g", "combo")))
-    dropped(made)
+    free = Unlabelled(made.filter("quality is null").select("x", "g", "combo"))
+    model = CoTrained(sample, sample["quality"].to_numpy(float) >= 1, free)
+    dropped(made, *([free.scored] if free.scored is not None else []))
     return model
 
 

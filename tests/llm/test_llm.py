@@ -458,6 +458,7 @@ def test_op8_a_round_is_that_of_plain_sums(spark):
     assert np.allclose(free.lexical_sums(label, weight), plain)
     lexicon = quality.Lexicon(plain)
     apart = lexicon.score(shares)
+    free.score(lexicon)
     model = quality.Content(x.mean(0), x.std(0), lexicon)
     rows = np.column_stack((np.clip((np.column_stack((x, apart)) - model.mean) / model.scale, -8, 8), np.ones(60)))
     w = np.linspace(-0.2, 0.2, rows.shape[1])

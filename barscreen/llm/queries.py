@@ -74,6 +74,24 @@ def op10_set_similarity_line_dedup(spark: SparkSession, sf_dir: str) -> DataFram
     return deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barscreen.llm.trie import prefix_trie
+
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barscreen.llm.spelling import grouped
+
+    return grouped(table(spark, sf_dir, "documents"))
+
+
+def op13_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barscreen.llm.warc import read_back
+
+    return read_back(table(spark, sf_dir, "pages")).drop("intact", "archive")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -87,9 +105,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_co_trained_quality,
         op9_exact_top_k,
         op10_set_similarity_line_dedup,
+        op11_conversation_prefix_trie,
+        op12_spelling_variants,
+        op13_warc_round_trip,
     )
 }
 
+
+def _crc32(codes: str) -> str:
+    """DuckDB text for the CRC-32 of a list of bytes."""
+    bits = "lambda v, k: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END"
+    return f"xor(list_reduce(list_concat([4294967295], {codes}), lambda c, b: list_reduce(list_concat([xor(c, b)], range(8)), {bits})), 4294967295)"
+
+
+_UTF8 = """flatten(list_transform(string_split({text}, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT]
+            ELSE [192 | (unicode(x)::BIGINT >> 6), 128 | (unicode(x)::BIGINT & 63)] END))"""
+
 ORACLE_SQL: dict[str, str] = {
     "op6_relational_chat_format": """
         WITH said AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -118,4 +149,49 @@ ORACLE_SQL: dict[str, str] = {
         marked AS (SELECT l.doc_id, l.n, l.line, g.n IS NOT NULL AS dropped FROM lines l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.n = g.n)
         SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (NOT dropped), '') AS text, CAST(count(*) FILTER (dropped) AS BIGINT) AS n_removed
         FROM marked GROUP BY doc_id""",
+    "op11_conversation_prefix_trie": f"""
+        WITH own AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS k
+            FROM conversations WHERE conv_id IS NOT NULL),
+        convs AS (SELECT conv_id, conv_id - conv_id % 5 AS base, {_crc32(_UTF8.format(text="CAST(conv_id AS VARCHAR)"))} % 9 AS h
+            FROM (SELECT DISTINCT conv_id FROM own)),
+        joined AS (SELECT c.conv_id, k, role, text FROM convs c JOIN own o ON o.conv_id = c.base AND k <= h
+            UNION ALL SELECT c.conv_id, k, role, text FROM convs c JOIN own o ON o.conv_id = c.conv_id AND k > h),
+        said AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY k) AS d, length(role) || ':' || role || length(text) || ':' || text AS said,
+                octet_length(encode(text)) AS bytes FROM joined),
+        members AS (SELECT conv_id, 0 AS d, '' AS path, 0 AS bytes FROM convs
+            UNION ALL SELECT conv_id, d, sha256(string_agg(said, '') OVER (PARTITION BY conv_id ORDER BY d ROWS UNBOUNDED PRECEDING)), bytes FROM said),
+        linked AS (SELECT *, lag(path) OVER w AS parent, max(d) OVER (PARTITION BY conv_id) = d AS at_end FROM members WINDOW w AS (PARTITION BY conv_id ORDER BY d)),
+        nodes AS (SELECT d, path, any_value(parent) AS parent, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * max(bytes) AS own,
+                sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (at_end), '')) AS ends_sha256
+            FROM linked GROUP BY d, path),
+        kids AS (SELECT parent, count(*) AS n FROM nodes WHERE d > 0 GROUP BY parent),
+        counted AS (SELECT v.*, coalesce(kids.n, 0) AS n_children FROM nodes v LEFT JOIN kids ON kids.parent = v.path),
+        sums AS (SELECT m.path, sum(v.own) AS saved, count(*) FILTER (v.n_children = 0) AS leaves FROM counted v JOIN members m ON m.conv_id = v.conv_id AND m.d <= v.d GROUP BY m.path)
+        SELECT v.conv_id, CAST(v.d AS BIGINT) AS depth, u.conv_id AS parent_conv_id, v.n_convs, v.n_children, CAST(s.leaves AS BIGINT) AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, v.ends_sha256
+        FROM counted v JOIN sums s ON s.path = v.path LEFT JOIN nodes u ON v.d > 0 AND u.path = v.parent""",
+    "op12_spelling_variants": f"""
+        WITH RECURSIVE runs AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+        counted AS (SELECT doc_id, run, count(*) AS n FROM runs WHERE length(run) >= 7 GROUP BY doc_id, run),
+        hashed AS (SELECT run, n, {_crc32(_UTF8.format(text="coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run"))} AS h FROM counted),
+        words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (SELECT n, CASE WHEN h % 31 = 0
+                THEN substr(run, 1, CAST(h % length(run) AS INT)) || substr(run, CAST(h % length(run) AS INT) + 2) ELSE run END AS word FROM hashed)
+            WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+        cuts AS (SELECT word, n, unnest(range(length(word))) AS k FROM words),
+        cut AS (SELECT word, n, k, substr(word, 1, CAST(k AS INT)) || '*' || substr(word, CAST(k AS INT) + 2) AS wild, substr(word, 1, CAST(k AS INT)) || substr(word, CAST(k AS INT) + 2) AS shorter FROM cuts),
+        near AS (SELECT a.word, b.word AS near, b.n AS near_n FROM cut a JOIN cut b ON a.wild = b.wild AND a.word <> b.word
+            UNION SELECT a.word, b.word, b.n FROM cut a JOIN words b ON a.shorter = b.word
+            UNION SELECT b.word, a.word, a.n FROM cut a JOIN words b ON a.shorter = b.word),
+        best AS (SELECT word, count(*) AS n_near, first(near ORDER BY near_n DESC, near) AS form, max(near_n) AS form_n FROM near GROUP BY word),
+        forms AS (SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.form_n >= 10 * w.n THEN b.form END AS form, CASE WHEN b.form_n >= 10 * w.n THEN b.form_n END AS form_n
+            FROM words w LEFT JOIN best b ON w.word = b.word),
+        paths AS (SELECT word, word AS at FROM forms UNION ALL SELECT p.word, f.form FROM paths p JOIN forms f ON p.at = f.word WHERE f.form IS NOT NULL)
+        SELECT f.word, f.form, p.at AS root, f.n, f.n_near, f.form_n FROM forms f JOIN paths p ON p.word = f.word JOIN forms e ON p.at = e.word AND e.form IS NULL""",
+    "op13_warc_round_trip": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+        sized AS (SELECT page_id, octet_length(encode(html)) AS payload_bytes, sha256(html) AS payload_digest FROM p),
+        firsts AS (SELECT payload_digest, min(page_id) AS first_id FROM sized WHERE payload_bytes >= 100 GROUP BY payload_digest)
+        SELECT s.page_id, CAST(s.payload_bytes AS BIGINT) AS payload_bytes, s.payload_digest, CASE WHEN f.first_id < s.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+            CASE WHEN f.first_id < s.page_id THEN f.first_id END AS refers_to
+        FROM sized s LEFT JOIN firsts f USING (payload_digest)""",
 }

@@ -34,6 +34,14 @@ RECORDS = (
     "path string, kind string, record_id string, target_uri string, refers_to string, date string, "
     "payload_bytes bigint, payload_sha256 string, intact boolean, payload binary, block bigint"
 )
+#: Hadoop decodes files by the ends of their names, and a file that it decodes isn't split. It looks at the registered end
+#: that comes last before a file's name in the order of their letters from behind: with one more end there, that no archive
+#: has, names like x.warc.gz have none, and their bytes are read, and split, as they are.
+AS_IT_IS = {
+    "io.compression.codecs": "org.apache.hadoop.io.compress.PassthroughCodec",
+    "io.compress.passthrough.extension": ".!.gz",
+    "org.apache.hadoop.shaded.io.compress.passthrough.extension": ".!.gz",  # the same in Hadoop's shaded client
+}
 #: Shared payloads up to so many are broadcast (some 120 bytes each); beyond that the join shuffles.
 BROADCAST_SHARED = 200_000
 
@@ -232,7 +240,7 @@ def read_archives(spark: SparkSession, path: str, payload: bool = True, glob: st
     gives no rows.
     """
     small_batches(spark)
-    pieces = spark.read.option("lineSep", MAGIC.decode("latin-1")).option("encoding", "ISO-8859-1").option("pathGlobFilter", glob).text(path)
+    pieces = spark.read.options(**AS_IT_IS).option("lineSep", MAGIC.decode("latin-1")).option("encoding", "ISO-8859-1").option("pathGlobFilter", glob).text(path)
     pieces = pieces.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("piece"))
 
     def decoded(batches: Iterator[pd.DataFrame], sequential: bool) -> Iterator[pd.DataFrame]:

@@ -95,7 +95,7 @@ def positions(store: Store, args: argparse.Namespace) -> int:
             return 2
         return 0 if store.close_position(args.id, today, args.price, args.reason, again=True) else 1
     else:
-        print(daily.rendered(store.table("positions").orderBy(F.col("exit_date").asc_nulls_first(), "entry_date")))
+        print(daily.rendered(report.open_first(store.table("positions"))))
     return 0
 
 

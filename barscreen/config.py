@@ -8,10 +8,15 @@ from dataclasses import dataclass, field, fields
 from pathlib import Path
 from typing import Any, TypeVar
 
+from pyspark.sql import DataFrame, SparkSession
+
 DEFAULTS = Path(__file__).with_name("config.toml")
 T = TypeVar("T")
 
 
+# The names of the settings are the keys of the TOML file, and those in URLs are its placeholders.
+
+
 @dataclass(frozen=True)
 class Indicators:
     ema_periods: tuple[int, ...] = (20, 50, 100, 200)
@@ -135,6 +140,13 @@ class Ingest:
         """The first source, in the order of the settings, whose range holds the day."""
         return next((s for s in self.sources if s.start <= day <= s.end), None)
 
+    def source_named(self, name: str) -> FileSource:
+        return next(s for s in self.sources if s.name == name)
+
+    def sources_table(self, spark: SparkSession) -> DataFrame:
+        """(priority, source, first_day, last_day): the ranges of source_for as rows."""
+        return spark.createDataFrame([(k, s.name, s.start, s.end) for k, s in enumerate(self.sources)], "priority int, source string, first_day date, last_day date")
+
 
 @dataclass(frozen=True)
 class Config:

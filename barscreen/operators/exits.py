@@ -7,7 +7,7 @@ signal's earlier bars.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barscreen.config import Costs, ExitRules
@@ -22,9 +22,12 @@ def holding_windows(signals: DataFrame, bars: DataFrame, horizon: int) -> DataFr
     return spread.join(bars, ["symbol", "bar_index"])
 
 
-def outcomes(signals: DataFrame, indicators: DataFrame, rules: ExitRules, costs: Costs, ema_mid: int) -> DataFrame:
+def outcomes(signals: DataFrame, indicators: DataFrame, rules: ExitRules, costs: Costs, ema_mid: int, both: bool = False) -> DataFrame:
     """One row for each signal (symbol, signal_index) that has a bar to enter on, with entry, exit, reason and return.
 
+    both: two rows, with `net` true and false; the second fills without slippage, which moves the stops that are hit. The
+    bars are joined once for both.
+
     Entry is the next bar's open. The stop starts initial_stop_atr below it and, once the highest close before the bar
     under test is far enough up, trails that close; it fills at the stop or a worse open. Closes below the trend line
     on structural_exit_days bars in a row (not before min_hold_days) exit at the next open; the last bar of the window
@@ -34,12 +37,18 @@ def outcomes(signals: DataFrame, indicators: DataFrame, rules: ExitRules, costs:
     bars = indicators.select("symbol", "bar_index", "trade_date", "open", "low", "close", F.col(f"ema_{ema_mid}").alias("trend"))
     at = indicators.select("symbol", F.col("bar_index").alias("signal_index"), F.col("atr").cast("double").alias("atr"), "median_turnover")
     known = signals.select(*KEY).join(at, list(KEY)).withColumn("slippage_bps", slippage_bps(costs, F.col("median_turnover")))
-    path = holding_windows(known, bars, rules.max_hold_days)
+    path, key = holding_windows(known, bars, rules.max_hold_days), KEY
+    if both:
+        path, key = path.withColumn("net", F.explode(F.array(F.lit(True), F.lit(False)))), (*KEY, "net")
+
+    def filled(price: Column, side: str) -> Column:
+        fill = slipped(costs, price, F.col("slippage_bps"), side)
+        return F.when(F.col("net"), fill).otherwise(price) if both else fill
 
-    whole = Window.partitionBy(*KEY)
+    whole = Window.partitionBy(*key)
     ordered = whole.orderBy("k")
     entry = F.first("entry_price").over(ordered.rowsBetween(Window.unboundedPreceding, 0))
-    path = path.withColumn("entry_price", F.when(F.col("k") == 0, slipped(costs, F.col("open"), F.col("slippage_bps"), "buy")))
+    path = path.withColumn("entry_price", F.when(F.col("k") == 0, filled(F.col("open"), "buy")))
     path = path.withColumns({
         "entry_price": entry,
         "entry_date": F.first("trade_date").over(ordered.rowsBetween(Window.unboundedPreceding, 0)),
@@ -55,7 +64,7 @@ def outcomes(signals: DataFrame, indicators: DataFrame, rules: ExitRules, costs:
     days = ordered.rowsBetween(1 - rules.structural_exit_days, 0)
     persistent = (F.sum("below").over(days) == rules.structural_exit_days) & (F.col("k") >= rules.min_hold_days)
     path = path.withColumns({"stop": stop, "persistent": persistent})
-    firsts = path.groupBy(*KEY).agg(
+    firsts = path.groupBy(*key).agg(
         F.min(F.when(F.col("low") <= F.col("stop"), F.col("k"))).alias("stop_k"),
         (F.min(F.when(F.col("persistent"), F.col("k"))) + 1).alias("structural_k"),
         F.first("time_k").alias("time_k"),
@@ -64,12 +73,12 @@ def outcomes(signals: DataFrame, indicators: DataFrame, rules: ExitRules, costs:
     chosen = firsts.withColumn("structural_k", structural).withColumn("exec_k", F.least("stop_k", "structural_k", "time_k"))
     ended = F.when(F.col("time_k") < rules.max_hold_days - 1, "data_end").otherwise("time")
     reason = F.when(F.col("stop_k") == F.col("exec_k"), "stop").when(F.col("structural_k") == F.col("exec_k"), "structural").otherwise(ended)
-    chosen = chosen.select(*KEY, F.col("exec_k").alias("k"), reason.alias("exit_reason"))
+    chosen = chosen.select(*key, F.col("exec_k").alias("k"), reason.alias("exit_reason"))
 
     fill = F.when(F.col("exit_reason") == "stop", F.least("stop", "open")).otherwise(F.col("open"))
-    out = path.join(chosen, [*KEY, "k"]).withColumn("exit_price", slipped(costs, fill, F.col("slippage_bps"), "sell"))
+    out = path.join(chosen, [*key, "k"]).withColumn("exit_price", filled(fill, "sell"))
     return out.select(
-        *KEY,
+        *key,
         "entry_date",
         F.col("trade_date").alias("exit_date"),
         "entry_price",

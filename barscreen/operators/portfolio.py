@@ -8,6 +8,7 @@ many backtests are many groups; statistics of trades and curves are aggregations
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window, WindowSpec
@@ -72,16 +73,17 @@ def fold_slots(candidates: pd.DataFrame, slots: int, capital: float, costs: Cost
     return trades, curve
 
 
-def ledger(candidates: DataFrame, slots: int, capital: float, costs: Costs, buy_charge_once: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
+def ledger(candidates: DataFrame, slots: int, capital: float, costs: Costs | Callable[[tuple], Costs], buy_charge_once: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
     """Trades and curve points of slot portfolios in one table; `trades_of` and `curve_of` take it apart.
 
     Each value of the columns `by` (a preset, a rule set, a first year) is a portfolio of its own, with all of its
-    candidates in one group: many backtests are dealt out over the tasks, and one has a basket a date.
+    candidates in one group: many backtests are dealt out over the tasks, and one has a basket a date. costs may be
+    a function of these values.
     """
     columns = [c.split()[0] for c in LEDGER.split(", ")]
 
     def run(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
-        trades, curve = fold_slots(df[list(CANDIDATES)], slots, capital, costs, buy_charge_once)
+        trades, curve = fold_slots(df[list(CANDIDATES)], slots, capital, costs(key) if callable(costs) else costs, buy_charge_once)
         rows = [{"kind": "trade", **t} for t in trades] + [{"kind": "point", **c} for c in curve]
         made = pd.DataFrame(rows, columns=columns).astype({"open_positions": "Int32", "hold_days": "Int32"})
         for name, value in reversed(list(zip(by, key, strict=False))):

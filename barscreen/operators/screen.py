@@ -57,3 +57,17 @@ def screened(indicators: DataFrame, quarantine: DataFrame, preset: Preset, min_w
     rank = F.row_number().over(Window.partitionBy("trade_date").orderBy(F.col(preset.rank_by).desc_nulls_last(), "symbol"))
     ranked = passed.withColumn("rank", rank)
     return ranked if top_n is None else ranked.filter(F.col("rank") <= top_n)
+
+
+def baskets(indicators: DataFrame, quarantine: DataFrame, presets: list[Preset], min_warmup_bars: int) -> DataFrame:
+    """The baskets of many presets in one pass: the bars that pass one, with `preset` and its `rank`, basket_size a date."""
+    passing = []
+    for p in presets:
+        fit = functools.reduce(operator.and_, predicates(p, min_warmup_bars))
+        passing.append(F.when(fit, F.struct(F.lit(p.name).alias("preset"), F.col(p.rank_by).cast("double").alias("_by"), F.lit(p.basket_size).alias("_size"))))
+    met = F.filter(F.array(*passing), lambda x: x.isNotNull())
+    each = outside_quarantine(indicators.withColumn("_met", met).filter(F.size("_met") > 0), quarantine).withColumn("_met", F.explode("_met"))
+    each = each.select(*indicators.columns, "_met.*")
+    rank = F.row_number().over(Window.partitionBy("preset", "trade_date").orderBy(F.col("_by").desc_nulls_last(), "symbol"))
+    largest = max(p.basket_size for p in presets)  # a rank limit that is a constant is applied before the exchange too
+    return each.withColumn("rank", rank).filter(F.col("rank") <= largest).filter(F.col("rank") <= F.col("_size")).drop("_by", "_size")

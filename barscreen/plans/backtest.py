@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from barscreen.config import Config, Costs, Preset
 from barscreen.operators.exits import outcomes
 from barscreen.operators.portfolio import curve_of, ledger, statistics, trades_of
-from barscreen.operators.screen import screened
+from barscreen.operators.screen import baskets, screened
 
 
 @dataclasses.dataclass(frozen=True)
@@ -60,3 +60,32 @@ def run(indicators: DataFrame, quarantine: DataFrame, preset: Preset, config: Co
 def walk_forward(indicators: DataFrame, quarantine: DataFrame, preset: Preset, config: Config, split: dt.date) -> dict[str, Result]:
     """One run up to the split date and one from it; the date itself is in both."""
     return {"in_sample": run(indicators, quarantine, preset, config, end=split), "out_of_sample": run(indicators, quarantine, preset, config, start=split)}
+
+
+RUN = ("preset", "side", "net")
+
+
+def book_of_runs(indicators: DataFrame, quarantine: DataFrame, presets: list[Preset], config: Config, split: dt.date | None = None) -> DataFrame:
+    """The ledgers (see portfolio.ledger) of all runs at once, by RUN: each preset, with costs and without any, over the
+    whole time and, with a split date, up to it and from it, the date itself being in both.
+
+    The bars are screened in one pass, and joined once for the exits of each different signal; a run is a group of its own.
+    """
+    p = config.portfolio
+    found = baskets(indicators, quarantine, presets, p.min_warmup_bars)
+    found = found.select("preset", "symbol", F.col("bar_index").alias("signal_index"), F.col("trade_date").alias("signal_date"), "rank")
+    sides = [F.lit("whole")]
+    if split is not None:
+        sides += [F.when(F.col("signal_date") <= F.lit(split), F.lit("in_sample")), F.when(F.col("signal_date") >= F.lit(split), F.lit("out_of_sample"))]
+    ended = outcomes(found.select("symbol", "signal_index").distinct(), indicators, config.rules, config.costs, config.indicators.ema_mid, both=True)
+    each = found.withColumn("side", F.explode(F.array_compact(F.array(*sides)))).join(ended, ["symbol", "signal_index"])
+    free = dataclasses.replace(config.costs, enabled=False)
+    return ledger(each, p.slots, p.capital, lambda key: config.costs if key[2] else free, by=RUN)
+
+
+def figures_of_runs(book: DataFrame, capital: float) -> DataFrame:
+    """A row of statistics for each run of a preset and a side, of the run with costs, and what costs took off the total return."""
+    found = statistics(trades_of(book, *RUN), curve_of(book, *RUN), capital, *RUN)
+    free = found.filter("NOT net").select("preset", "side", F.col("trades").alias("trades_gross"), F.col("total_return_net").alias("total_return_gross"), F.col("cagr_net").alias("cagr_gross"))
+    both = found.filter("net").drop("net").join(free, ["preset", "side"], "full")
+    return both.withColumn("cost_drag_on_return", F.col("total_return_gross") - F.col("total_return_net"))

@@ -4,19 +4,19 @@ from __future__ import annotations
 
 import datetime as dt
 import logging
-import os
-from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barscreen.config import Config
+from barscreen.functions import text
 from barscreen.plans import report
 from barscreen.sources.calendar import weekdays
-from barscreen.sources.fetch import Fetcher, chunks
-from barscreen.sources.files import read_actions, read_bars
-from barscreen.sources.store import Store
+from barscreen.sources.fetch import Fetched, Fetcher, chunks
+from barscreen.sources.files import landed_at, read_actions
+from barscreen.sources.store import Store, logged
+from barscreen.sources.versions import Files
 
 log = logging.getLogger(__name__)
 
@@ -31,70 +31,100 @@ class Tally:
     skipped: int = 0
 
 
-def fill_gaps(store: Store, config: Config, fetcher: Fetcher, start: dt.date, end: dt.date, limit: int | None = None, max_consecutive_failures: int = 5, today: dt.date | None = None, land: Callable[[str, bytes], str] | None = None) -> Tally:
+def gap_plan(store: Store, sources: DataFrame, start: dt.date, end: dt.date, today: dt.date, confirm_after_days: int) -> DataFrame:
+    """(day, source, absent) of the weekdays from start to end that aren't settled, in a plan of joins.
+
+    sources (priority, source, first_day, last_day; an open end is null): of those that cover a day the first counts, and a
+    day without any has a null source. absent: what a missing file means by today, a holiday or not yet.
+    """
+    settled = store.table("ingest_log").filter("status in ('ok', 'holiday')").select(F.col("trade_date").alias("day"))
+    return open_days(weekdays(store.spark, start, end), sources, settled, F.lit(today), confirm_after_days)
+
+
+def open_days(days: DataFrame, sources: DataFrame, settled: DataFrame, today: Column, confirm_after_days: int) -> DataFrame:
+    """The plan of gap_plan over given days (day) and settled ones (day). Sources are a few lines of settings."""
+    covers = (F.coalesce("first_day", F.lit("0001-01-01").cast("date")) <= F.col("day")) & (F.col("day") <= F.coalesce("last_day", F.lit("9999-12-31").cast("date")))
+    first = F.min(F.when(F.col("source").isNotNull(), F.struct("priority", "source"))).alias("first")
+    met = days.join(settled, "day", "left_anti").join(F.broadcast(sources), covers, "left").groupBy("day").agg(first)
+    return met.select("day", F.col("first.source").alias("source"), text.conclusively_absent(F.col("day"), today, confirm_after_days).alias("absent"))
+
+
+def fill_gaps(store: Store, config: Config, fetcher: Fetcher, start: dt.date, end: dt.date, limit: int | None = None, max_consecutive_failures: int = 5, today: dt.date | None = None, batch_days: int = 250) -> Tally:
     """Every weekday from start to end that isn't settled: stored, a holiday, still pending, or failed.
 
-    One bad session costs that session only; so many failures in a row stop the run.
+    Files are fetched one after the other and land; each batch of them is then parsed and stored in one job. One bad session
+    costs that session only; so many failures in a row stop the run.
     """
-    tally, in_a_row, settled = Tally(), 0, store.settled_dates()
-    land = land or landing(f"{store.root}/landed")
-    for (day,) in weekdays(store.spark, start, end).orderBy("day").collect():
-        if day in settled:
-            tally.skipped += 1
-            continue
-        if limit is not None and tally.stored + tally.holidays >= limit:
+    tally, in_a_row = Tally(), 0
+    sources = config.ingest.sources_table(store.spark)
+    plan = gap_plan(store, sources, start, end, today or dt.date.today(), config.ingest.holiday_confirm_after_days)
+    days = [tuple(r) for r in plan.orderBy("day").collect()]
+    tally.skipped = weekdays(store.spark, start, end).count() - len(days)
+    while days and in_a_row < max_consecutive_failures:
+        room = batch_days if limit is None else min(batch_days, limit - tally.stored - tally.holidays)
+        if room <= 0:
             break
-        try:
-            source, got = fetcher.fetch_day(day)
-            name = source.name if source else None
-            if got.status == "not_found":
-                status = store.missing_file_status(day, today or dt.date.today(), config.ingest.holiday_confirm_after_days)
-                store.mark(day, status, name)
-                tally.holidays += status == "holiday"
-                tally.pending += status == "pending"
-            else:
-                path = land(f"{day:%Y%m%d}.csv.zip", got.content)
-                tally.rows += store.write_day(day, name, read_bars(store.spark, path, name, config.universe, day), got.sha256)
-                tally.stored += 1
-            in_a_row = 0
-        except Exception as error:  # a malformed file of a third party must not end a run over years of them
-            store.mark(day, "failed", note=f"{type(error).__name__}: {error}")
-            log.error("%s failed: %s", day, error)
-            tally.failed, in_a_row = tally.failed + 1, in_a_row + 1
-            if in_a_row >= max_consecutive_failures:
-                log.error("%d failures in a row: the run stops", in_a_row)
-                break
+        now, days = days[:room], days[room:]
+        fetched, states, failing = [], {}, 0
+        for day, source, absent in now:
+            try:
+                got = fetcher.fetch(config.ingest.source_named(source).url_for(day)) if source else Fetched("not_found")
+                failing = 0
+                if got.status == "not_found":
+                    states[day] = ("holiday" if absent else "pending", source, None)
+                else:
+                    fetched.append((store.land(f"{day:%Y%m%d}.csv.zip", got.content).rpartition("/")[2], day, source))
+            except Exception as error:  # a server that refuses one file must not end a run over years of them
+                states[day] = ("failed", source, f"{type(error).__name__}: {error}")
+                failing += 1
+                if failing + in_a_row >= max_consecutive_failures:
+                    break
+        rows = taken(store, config, fetched)
+        states |= {day: ("failed", source, problem) for day, source, problem, _ in rows if problem}
+        stored = {day: n for day, _, problem, n in rows if not problem}
+        store.versions("ingest_log").append([logged(day, status, source, None, None, note, None) for day, (status, source, note) in states.items()])
+        for day, _, _ in now:
+            status = "ok" if day in stored else states[day][0] if day in states else None
+            tally.stored += status == "ok"
+            tally.rows += stored.get(day, 0)
+            tally.holidays += status == "holiday"
+            tally.pending += status == "pending"
+            if status == "failed":
+                log.error("%s failed: %s", day, states[day][2])
+                tally.failed, in_a_row = tally.failed + 1, in_a_row + 1
+                if in_a_row >= max_consecutive_failures:
+                    log.error("%d failures in a row: the run stops", in_a_row)
+                    break
+            elif status is not None:
+                in_a_row = 0
     return tally
 
 
-def landing(folder: str) -> Callable[[str, bytes], str]:
-    """Files go to a local folder of the driver's, as the files of one session do."""
-
-    def land(name: str, content: bytes) -> str:
-        os.makedirs(folder, exist_ok=True)
-        path = os.path.join(folder, name)
-        with open(path, "wb") as out:
-            out.write(content)
-        return path
-
-    return land
+def taken(store: Store, config: Config, fetched: list[tuple[str, dt.date, str]]) -> list[tuple[dt.date, str, str | None, int]]:
+    """(day, source, problem, rows) of landed files (name, day, source), stored in one job."""
+    if not fetched:
+        return []
+    told = store.spark.createDataFrame(fetched, "name string, expected date, layout string")
+    found = landed_at(store.spark, *(f"{store.root}/landed/{name}" for name, _, _ in fetched))
+    found = found.withColumn("name", F.element_at(F.split("path", "/"), -1)).join(told, "name").drop("name")
+    report = {r["expected"]: r for r in store.take_in(found, config.universe)}
+    unseen = {"problem": "the file is empty", "stored": {}}
+    told = [(day, source, report.get(day, unseen)) for _, day, source in fetched]
+    return [(day, source, r["problem"], sum(r["stored"].values())) for day, source, r in told]
 
 
 def take_in_actions(store: Store, config: Config, fetcher: Fetcher, start: dt.date, end: dt.date) -> None:
     fetcher.start_session()
-    land = landing(f"{store.root}/landed")
     for first, last in chunks(start, end):
         got = fetcher.fetch(config.ingest.actions_url.format(start=f"{first:%d-%m-%Y}", end=f"{last:%d-%m-%Y}"))
         if got.status == "ok" and got.content:
-            store.add_actions(read_actions(store.spark, land(f"actions-{first:%Y%m%d}.json", got.content), config.universe))
+            store.add_actions(read_actions(store.spark, store.land(f"actions-{first:%Y%m%d}.json", got.content), config.universe))
 
 
-def write_csv(found: DataFrame, folder: str, name: str, as_of: dt.date) -> str:
-    """A small table as one CSV file, {name}_{date}.csv."""
-    os.makedirs(folder, exist_ok=True)
-    path = os.path.join(folder, f"{name}_{as_of}.csv")
-    found.toPandas().to_csv(path, index=False)
-    return path
+def write_csv(found: DataFrame, files: Files, name: str, as_of: dt.date) -> str:
+    """A small table as one CSV file, {name}_{date}.csv, in the folder of files, on whatever file system that is."""
+    files.write(f"{name}_{as_of}.csv", found.toPandas().to_csv(index=False).encode())
+    return f"{files.root}/{name}_{as_of}.csv"
 
 
 def rendered(found: DataFrame, places: dict[str, int] | None = None) -> str:
@@ -139,6 +169,6 @@ def daily(store: Store, config: Config, fetcher: Fetcher, start: dt.date | None
         return 1
     for name, found in (("positions", held), ("shortlist", basket)):
         print(f"{name} {day}\n{rendered(found)}")
-        write_csv(found, config.ingest.output, name, day)
+        write_csv(found, Files(store.spark, config.ingest.output), name, day)
     store.log_shortlist(basket, config.preset(preset_name).name, day)
     return 0

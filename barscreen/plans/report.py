@@ -13,6 +13,7 @@ from barscreen.operators.screen import screened
 
 log = logging.getLogger(__name__)
 
+# Columns in the order that readers of these tables expect.
 SHORTLIST_COLUMNS = (
     "rank", "symbol", "close", "rsi", "adx", "mom_short", "mom_long_skip", "ext_atr", "ext_zscore", "pct_from_high", "trend_age_days", "up_day_ratio", "rsi_divergence", "stoch_k", "stoch_d", "vol_ratio",
     "vol_sustained", "median_turnover", "atr", "suggested_stop",
@@ -136,3 +137,8 @@ def recent_failures(ingest_log: DataFrame, limit: int = 10) -> DataFrame:
 def by_column(table: DataFrame, column: str, descending: bool = False) -> DataFrame:
     """A table in the order that a reader asks for; nulls come last either way."""
     return table.orderBy(F.col(column).desc_nulls_last() if descending else F.col(column).asc_nulls_last())
+
+
+def open_first(positions: DataFrame) -> DataFrame:
+    """All positions, open ones first, then by exit and entry."""
+    return positions.orderBy(F.col("exit_date").asc_nulls_first(), "entry_date", "position_id")

@@ -14,6 +14,7 @@ from barscreen.functions import costs as charges
 from barscreen.functions import text
 from barscreen.operators import adjust, portfolio, recursive, screen, windows
 from barscreen.plans import backtest, report
+from barscreen.schemas import PRICES
 from barscreen.sources import calendar, files, proxy
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -590,11 +591,10 @@ def _fields(lines: tuple[str, ...], columns: dict[str, str], layout: str, day: s
 )
 def bar_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both layouts out of literal lines: short rows go, blank closes stay."""
-    made = []
-    for layout, lines in (("udiff", UDIFF_LINES), ("legacy", LEGACY_LINES)):
-        texts = spark.createDataFrame([("\n".join(lines),)], "text string")
-        made.append(files.bars_from(files.rows_of(texts), layout, config().universe).withColumn("layout", F.lit(layout)))
-    return made[0].unionByName(made[1])
+    texts = [(layout, "\n".join(lines)) for layout, lines in (("udiff", UDIFF_LINES), ("legacy", LEGACY_LINES))]
+    landed = spark.createDataFrame([(layout, None, None, t, None) for layout, t in texts], files.LANDED)
+    rows = files.parsed(landed, config().universe).filter("NOT is_file")
+    return rows.select("layout", *[c.split()[0] for c in PRICES.split(", ")])
 
 
 # ---- text functions ----------------------------------------------------------------------------------------------
@@ -618,23 +618,24 @@ _TYPE = f"""CASE WHEN {_like(text.DEMERGER_WORDS)} THEN 'demerger' ELSE coalesce
 _TYPED = f"typed AS (SELECT subject, {_TYPE} AS action_type FROM (VALUES {_literal(SUBJECTS)}) AS v(subject))"
 
 
-def _ratio(pattern: str, k: int) -> str:
-    return f"TRY_CAST(regexp_extract(subject, '{pattern}', {k}) AS DOUBLE)"
-
-
 @query(f"WITH {_TYPED} SELECT subject, action_type FROM typed")
 def classify_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(s,) for s in SUBJECTS], "subject string").withColumn("action_type", text.classify(F.col("subject")))
 
 
-_BONUS = f"(1 + {_ratio(text.BONUS_RATIO, 1)} / nullif({_ratio(text.BONUS_RATIO, 2)}, 0))"
-_FACE = f"({_ratio(text.FACE_VALUES, 1)} / nullif({_ratio(text.FACE_VALUES, 2)}, 0))"
+# The numbers of a subject by the places of its words: a list of words, numbers and signs, searched from the left.
+_WORDS = "regexp_extract_all(replace(replace(lower(subject), 'rs.', 'rs '), 're.', 're '), '[0-9]*[.][0-9]+|[0-9]+|[a-z]+|[^a-z0-9 ]')"
+_PLACED = f"""placed AS (SELECT *, [k FOR k IN range(1, len(w) + 1) IF w[k] = 'from' AND w[k + 1] IN ('rs', 're') AND TRY_CAST(w[k + 2] AS DOUBLE) IS NOT NULL][1] AS f,
+        [k FOR k IN range(1, len(w) + 1) IF w[k + 1] = ':' AND TRY_CAST(w[k] AS BIGINT) IS NOT NULL AND (w[k - 1] = 'bonus' OR w[k - 1] = 'issue' AND w[k - 2] = 'bonus')][1] AS b
+    FROM (SELECT *, {_WORDS} AS w FROM typed) AS x),
+    ratios AS (SELECT *, [k FOR k IN range(f + 1, len(w) + 1) IF w[k] = 'to' AND w[k + 1] IN ('rs', 're') AND TRY_CAST(w[k + 2] AS DOUBLE) IS NOT NULL][1] AS t FROM placed)"""
+_BONUS = "(1 + TRY_CAST(w[b] AS DOUBLE) / nullif(TRY_CAST(w[b + 2] AS DOUBLE), 0))"
+_FACE = "(TRY_CAST(w[f + 2] AS DOUBLE) / nullif(TRY_CAST(w[t + 2] AS DOUBLE), 0))"
+_FACTOR = f"""CASE WHEN action_type NOT IN ('ignored', 'demerger') THEN (CASE WHEN contains(action_type, 'bonus') THEN {_BONUS} ELSE 1 END)
+    * (CASE WHEN contains(action_type, 'split') OR contains(action_type, 'consolidation') THEN {_FACE} ELSE 1 END) END"""
 
 
-@query(
-    f"""WITH {_TYPED} SELECT subject, action_type, CASE WHEN action_type NOT IN ('ignored', 'demerger') THEN (CASE WHEN contains(action_type, 'bonus') THEN {_BONUS} ELSE 1 END)
-    * (CASE WHEN contains(action_type, 'split') OR contains(action_type, 'consolidation') THEN {_FACE} ELSE 1 END) END AS factor FROM typed"""
-)
+@query(f"WITH {_TYPED}, {_PLACED} SELECT subject, action_type, {_FACTOR} AS factor FROM ratios")
 def parse_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
     typed = classify_subjects(spark, sf_dir)
     return typed.withColumn("factor", text.action_factor(F.col("subject"), F.col("action_type")))

@@ -6,6 +6,7 @@ import datetime as dt
 import json
 import math
 import re
+import threading
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from urllib.parse import parse_qs, unquote, urlsplit
 
@@ -38,6 +39,7 @@ def records(found: DataFrame) -> list[dict]:
 class Service:
     def __init__(self, store: Store, config: Config):
         self.store, self.config = store, config
+        self.writing = threading.Lock()  # spares writers of this service the tries that they would lose to each other
 
     def _indicators(self) -> DataFrame:
         try:
@@ -130,7 +132,8 @@ class Service:
         routes = {"/api/positions": self.add_position, "/api/positions/close": self.close_position, "/api/positions/delete": self.delete_position}
         if path not in routes:
             raise Refused(404, "no such route")
-        return routes[path](body)
+        with self.writing:
+            return routes[path](body)
 
 
 def server(store: Store, config: Config, host: str = "127.0.0.1", port: int = 0) -> ThreadingHTTPServer:

@@ -20,7 +20,7 @@ from barscreen.plans import daily, report
 from barscreen.sources.calendar import weekdays
 from barscreen.sources.fetch import Fetcher, chunks
 from barscreen.sources.files import ParseError, read_actions, read_bars
-from barscreen.sources.store import Store
+from barscreen.sources.store import Store, logged
 from barscreen.streaming.ingest import follow
 
 DAY = dt.date(2024, 3, 1)
@@ -180,7 +180,8 @@ def filled(spark, tmp_path_factory):
     days = [DAY + dt.timedelta(k) for k in range(230)]
     rows = [(s, d, None, "EQ", p, p * 1.01, p * 0.99, p, p, 100_000, p * 2e6, 5) for s, base, drift in (("UP", 100, 1.0), ("FLAT", 100, 0.01)) for k, d in enumerate(days) for p in [float(base + drift * k + (k % 7) * 0.1)]]
     schema = "symbol string, trade_date date, isin string, series string, open double, high double, low double, close double, prev_close double, volume bigint, turnover double, trades bigint"
-    spark.createDataFrame(rows, schema).coalesce(1).write.partitionBy("trade_date").parquet(f"{store.root}/prices")
+    commit = store.stage(spark.createDataFrame(rows, schema))
+    store.versions("ingest_log").append([logged(d, "ok", "udiff", 2, "", None, commit) for d in days])
     store.adjust(config.actions)
     assert store.rebuild_indicators(config.indicators) == 460
     return store, config, days

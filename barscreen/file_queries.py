@@ -169,15 +169,15 @@ _CAPPED = dataclasses.replace(config().costs, brokerage_pct=0.0003, brokerage_fl
 
 
 @query(
-    """SELECT o_orderkey, round(v * 0.001 + v * 0.00015 + l * 1.18, 4) AS buy_cost, round(v * 0.001 + 15.93 + l * 1.18, 4) AS sell_cost, round(b, 4) AS brokerage, 0e0 AS free_buy, 0e0 AS free_sell, v AS free_fill
+    """SELECT o_orderkey, round(l + l * 0.18 + v * 0.001 + v * 0.00015, 3) AS buy_cost, round(l + l * 0.18 + v * 0.001 + 15.93, 3) AS sell_cost, round(b, 3) AS brokerage, 0e0 AS free_buy, 0e0 AS free_sell, round(v, 3) AS free_fill
     FROM (SELECT *, b + v * 0.0000297 + v * 0.000001 AS l FROM (SELECT o_orderkey, o_totalprice AS v, least(o_totalprice * 0.0003, 20e0) AS b FROM orders) AS x) AS y"""
 )
 def capped_brokerage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Costs with a brokerage that is a share up to a flat amount; and with costs disabled."""
     v, free = F.col("o_totalprice"), dataclasses.replace(_CAPPED, enabled=False)
     made = {"buy_cost": charges.buy_costs(_CAPPED, v), "sell_cost": charges.sell_costs(_CAPPED, v), "brokerage": charges.brokerage(_CAPPED, v)}
-    found = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", *[F.round(x, 4).alias(k) for k, x in made.items()], charges.buy_costs(free, v).alias("free_buy"), charges.sell_costs(free, v).alias("free_sell"), charges.slipped(free, v, F.lit(40.0), "buy").alias("free_fill"))
-    return found
+    found = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", *[x.alias(k) for k, x in made.items()], charges.buy_costs(free, v).alias("free_buy"), charges.sell_costs(free, v).alias("free_sell"), charges.slipped(free, v, F.lit(40.0), "buy").alias("free_fill"))
+    return rounded(found, 3)
 
 
 # ---- positions ---------------------------------------------------------------------------------------------------

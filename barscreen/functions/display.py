@@ -15,7 +15,9 @@ def _shown(value: Column, text: Column) -> Column:
 
 def _fixed(value: Column, places: int) -> Column:
     """A number with so many decimals, halves away from zero, without separators."""
-    return F.round(value, places).cast(f"decimal(38,{places})").cast("string")
+    units = F.floor(F.abs(value) * 10**places + 0.5).cast("decimal(38,0)")
+    text = units.cast("string") if places == 0 else (units.cast(f"decimal(38,{places})") / F.lit(10**places).cast("decimal(10,0)")).cast(f"decimal(38,{places})").cast("string")
+    return F.concat(F.when((value < 0) & (units > 0), F.lit("-")).otherwise(F.lit("")), text)
 
 
 def grouped(value: Column, places: int = 2) -> Column:

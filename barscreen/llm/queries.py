@@ -121,6 +121,8 @@ def _crc32(codes: str) -> str:
 _UTF8 = """flatten(list_transform(string_split({text}, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT]
             ELSE [192 | (unicode(x)::BIGINT >> 6), 128 | (unicode(x)::BIGINT & 63)] END))"""
 
+_SOUND = "e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
 ORACLE_SQL: dict[str, str] = {
     "op6_relational_chat_format": """
         WITH said AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -194,4 +196,17 @@ ORACLE_SQL: dict[str, str] = {
         SELECT s.page_id, CAST(s.payload_bytes AS BIGINT) AS payload_bytes, s.payload_digest, CASE WHEN f.first_id < s.page_id THEN 'revisit' ELSE 'response' END AS record_type,
             CASE WHEN f.first_id < s.page_id THEN f.first_id END AS refers_to
         FROM sized s LEFT JOIN firsts f USING (payload_digest)""",
+    "op7_pivot_near_dedup": f"""
+        WITH RECURSIVE v AS (SELECT row_number() OVER () AS i, vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+        sound AS (SELECT i, vec_id, label, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS size FROM v WHERE label IS NOT NULL AND {_SOUND} AND list_sum(list_transform(e, lambda x: abs(x))) > 0),
+        unit AS (SELECT i, vec_id, label, list_transform(e, lambda x: x / size) AS e FROM sound),
+        links AS (SELECT a.i, b.i AS j, b.vec_id FROM unit a JOIN unit b ON a.label = b.label AND a.i <> b.i AND len(a.e) = len(b.e) AND list_dot_product(a.e, b.e) >= 0.98),
+        reached AS (SELECT i, i AS j FROM v UNION SELECT r.i, l.j FROM reached r JOIN links l ON l.i = r.j),
+        least AS (SELECT r.i, min(v.vec_id) AS component_id FROM reached r JOIN v ON v.i = r.j GROUP BY r.i),
+        counted AS (SELECT i, count(*) AS n FROM links GROUP BY i)
+        SELECT v.vec_id, CAST(coalesce(c.n, 0) AS BIGINT) AS n_links, l.component_id, coalesce(v.vec_id = l.component_id, false) AS kept FROM v JOIN least l ON l.i = v.i LEFT JOIN counted c ON c.i = v.i""",
+    "op9_exact_top_k": f"""
+        WITH v AS (SELECT row_number() OVER () AS i, vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings WHERE vec_id IS NOT NULL AND {_SOUND.replace("e IS", "embedding IS", 1).replace("(e,", "(embedding,")}),
+        met AS (SELECT q.i, q.vec_id AS query_id, v.vec_id, v.i AS j, CAST(list_dot_product(q.e, v.e) AS BIGINT) AS score FROM v q JOIN v ON q.vec_id % 50 = 0 AND q.i <> v.i AND len(q.e) = len(v.e))
+        SELECT query_id, CAST(nth AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, vec_id, j) AS nth FROM met) AS x WHERE nth <= 5""",
 }

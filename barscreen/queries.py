@@ -200,6 +200,13 @@ def true_range_atr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(made.select("symbol", "trade_date", windows.true_range().alias("true_range"), "atr"))
 
 
+@query(_select(SEQ, "symbol", "trade_date", "ema_20", "ema_50", "ema_100", "ema_200", "rsi", "atr", "adx", "trend_age_days"))
+def averages_by_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All recursive averages as a scan over chunks of bars, in built-in expressions."""
+    made = recursive.sequential(proxy.bars(spark, sf_dir), config().indicators, long_symbols=True)
+    return rounded(made.select("symbol", "trade_date", "ema_20", "ema_50", "ema_100", "ema_200", "rsi", "atr", "adx", "trend_age_days"))
+
+
 @query(f"WITH RECURSIVE {IND} SELECT symbol, trade_date, round(ext_atr, 5) AS ext_atr, round(ext_zscore, 5) AS ext_zscore FROM w3")
 def ext_atr_zscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = windows.with_windows(recursive.sequential(proxy.bars(spark, sf_dir), config().indicators), config().indicators)

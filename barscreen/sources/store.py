@@ -13,7 +13,7 @@ import datetime as dt
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barscreen.config import Actions, Indicators, Universe
@@ -165,11 +165,30 @@ class Store:
         """Always computed from raw prices, which are never rewritten."""
         return adjust.adjusted(self.prices(), self.table("adj_intervals"))
 
-    def rebuild_indicators(self, settings: Indicators) -> int:
+    def rebuild_indicators(self, settings: Indicators, bars_per_file: int = 500_000) -> int:
+        """Compute all indicators and store them twice: by ranges of dates, for screens, and by symbol, for one symbol's bars."""
         made = windows.narrowed(windows.with_windows(recursive.sequential(self.adjusted(), settings), settings))
-        self.replace("indicators", made, files=None)
+        staging = f"{self.root}/staging/{uuid.uuid4().hex}"
+        made.write.parquet(staging)  # computed once for both
+        self._lay_out_indicators(self.spark.read.parquet(staging), bars_per_file)
+        self.files.delete(staging.removeprefix(f"{self.root}/"))
         return self.table("indicators").count()
 
+    def _lay_out_indicators(self, rows: DataFrame, bars_per_file: int, keep: int = 2, at: int | None = None) -> None:
+        count = max(1, -(-rows.count() // bars_per_file))
+        by_date = rows.repartitionByRange(count, "trade_date").sortWithinPartitions("trade_date", "symbol")
+        buckets = {"buckets": F.lit(count), "bucket": bucket_of(F.col("symbol"), F.lit(count))}
+        by_symbol = rows.withColumns(buckets).repartition(count, "bucket").sortWithinPartitions("bucket", "symbol", "trade_date")
+        self.versions("indicators").replace(by_date, at, keep, {"by_symbol": (by_symbol, ("buckets", "bucket"))})
+
+    def symbol_indicators(self, symbol: str) -> DataFrame:
+        """One symbol's bars: its bucket is a folder, so one file is read; bars are in order in it."""
+        found = self.versions("indicators").copy("by_symbol")
+        if found is None:
+            return self.table("indicators").filter(F.col("symbol") == symbol)
+        own = F.col("bucket") == bucket_of(F.lit(symbol), F.col("buckets"))  # of folders' names alone: decided before any file is opened
+        return found.filter(own & (F.col("symbol") == symbol)).drop("buckets", "bucket")
+
     # -- positions and shortlists --------------------------------------------------------------------------------
 
     def _change_positions(self, change: Callable[[DataFrame, Versions, int], object], tries: int = 1000) -> object:
@@ -223,16 +242,18 @@ class Store:
         """Compact prices, fold all tables and rewrite the indicators in files of a good size; bytes before and after."""
         before = self.bytes_of("")
         self.compact_prices(bytes_per_file, grace)
-        for name in (*TABLES, "indicators"):
+        for name in TABLES:
             table = self.versions(name)
             if table.last():
-                data = table._since_fold()[1]
-                count = max(1, (self.bytes_of(f"{name}/{data}") if data else 0) // bytes_per_file)
-                last, found = table.snapshot()
-                try:
-                    table.replace(found.repartition(int(count)), at=last + 1, keep=1)
-                except Lost:
-                    pass  # it is in use; the next time will do
+                table.fold(keep=1)  # False if it is in use just now; the next time will do
+        indicators = self.versions("indicators")
+        if indicators.last():
+            last, found = indicators.snapshot()
+            per_file = max(1, int(found.count() * bytes_per_file / max(1, self.bytes_of("indicators"))))
+            try:
+                self._lay_out_indicators(found, per_file, keep=1, at=last + 1)
+            except Lost:
+                pass
         return before, self.bytes_of("")
 
     def compact_prices(self, bytes_per_file: int = 128 << 20, grace: dt.timedelta = dt.timedelta(days=1)) -> int:
@@ -277,6 +298,10 @@ class Store:
         return "holiday" if late else "pending"
 
 
+def bucket_of(symbol: Column, buckets: Column) -> Column:
+    return F.pmod(F.xxhash64(symbol), buckets.cast("bigint")).cast("int")
+
+
 def logged(day: dt.date, status: str, source: str | None, row_count: int | None, sha: str | None, note: str | None, commit: str | None) -> dict:
     """A row of the log."""
     return {"trade_date": day, "source": source, "status": status, "row_count": row_count, "content_sha": sha, "fetched_at": dt.datetime.now(), "note": note and note[:500], "commit_id": commit}

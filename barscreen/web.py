@@ -82,7 +82,8 @@ class Service:
 
     def symbol(self, raw: str, query: dict) -> dict:
         symbol = self._symbol(raw)
-        bars = records(report.symbol_bars(self._indicators(), symbol, int(query.get("days", 260))))
+        self._indicators()
+        bars = records(report.symbol_bars(self.store.symbol_indicators(symbol), symbol, int(query.get("days", 260))))
         if not bars:
             raise Refused(404, f"no data for {symbol}")
         shut = self.store.table("quarantine").filter(F.col("symbol") == symbol).select("from_date", "to_date", "reason")
@@ -97,7 +98,8 @@ class Service:
             raise Refused(400, "entry_price and quantity are needed, and a date that can be read") from None
         if price <= 0 or quantity <= 0:
             raise Refused(400, "entry_price and quantity must be positive")
-        if self._indicators().filter((F.col("symbol") == symbol) & (F.col("trade_date") == F.lit(day))).isEmpty():
+        self._indicators()
+        if self.store.symbol_indicators(symbol).filter(F.col("trade_date") == F.lit(day)).isEmpty():
             raise Refused(400, f"{symbol} has no bar on {day}")
         return {"position_id": self.store.add_position(symbol, day, price, quantity), "symbol": symbol}
 

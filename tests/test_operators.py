@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import dataclasses
 import datetime as dt
+import random
 
 import numpy as np
 import pandas as pd
@@ -12,8 +13,8 @@ from pyspark.sql import functions as F
 
 from barscreen.config import Costs, ExitRules, Preset, load
 from barscreen.functions import costs as charges
-from barscreen.functions import text
-from barscreen.operators import adjust, exits, portfolio, recursive, screen, windows
+from barscreen.functions import display, text
+from barscreen.operators import adjust, exits, portfolio, recursive, scan, screen, windows
 
 CONFIG = load()
 DAY = dt.date(2024, 1, 1)
@@ -249,3 +250,80 @@ def test_packed_subjects_multiply(spark):
     got = df.select("t", text.action_factor(F.col("s"), F.col("t")).alias("f"), text.factor_note(F.col("s"), F.col("t")).alias("n")).collect()
     assert [r["f"] for r in got] == [4.0, 10.0, 10.0, 3.0, None, None]
     assert got[0]["t"] == "bonus+split" and got[4]["n"] == "no readable ratio: bonus" and got[5]["t"] == "ignored"
+
+
+def test_averages_as_a_scan(spark):
+    r, rows = random.Random(1), []
+    for key, (n, share) in enumerate([(1, 0), (5, 0.2), (256, 0.1), (257, 0.3), (1500, 0.05), (600, 0)]):
+        for k in range(n):
+            gone = r.random() < share or key == 3 and k < 10 or key == 4 and 300 < k < 1200
+            rows.append((f"k{key}", k, None if gone else float("nan") if r.random() < 0.01 else r.random() * 100, r.random() * (r.random() < 0.5)))
+    passes = {"a": ("x", 2 / 21), "b": ("x", 2 / 201), "c": ("z", 1 / 14), "d": ("x", 1.0), "e": ("z", 2 / 3)}
+    df = spark.createDataFrame(rows, "key string, n int, x double, z double")
+    got = scan.averages(df, passes, "key", "n").toPandas().sort_values(["key", "n"], ignore_index=True)
+    plain = pd.DataFrame(rows, columns=["key", "n", "x", "z"]).sort_values(["key", "n"], ignore_index=True)
+    for name, (column, weight) in passes.items():
+        expected = plain.groupby("key")[column].transform(lambda v, w=weight: recursive.average(v, w))
+        np.testing.assert_allclose(got[name].to_numpy(float), expected.to_numpy(float), rtol=1e-12)
+    assert scan.averages(df.limit(0), passes, "key", "n").count() == 0
+
+
+def test_long_curves_in_two_levels(spark):
+    r = random.Random(8)
+    curves = {}
+    for name in ("a", "b", None):
+        days = sorted(r.sample(range(9000, 11000), 150)) + ([15_000, 15_001] if name == "a" else [])
+        curves[name] = [(dt.date(1970, 1, 1) + dt.timedelta(d), 100 + r.random() * 50) for d in days]
+    rows = [(n, d, e) for n, points in curves.items() for d, e in points]
+    r.shuffle(rows)
+    df = spark.createDataFrame(rows, "name string, date date, equity double")
+    for by, groups in ((("name",), curves), ((), {None: curves["a"]})):
+        part = df if by else df.filter("name = 'a'")
+        got = {(x["name"] if by else None, x["date"]): x["drawdown"] for x in portfolio.drawdowns(part, *by).collect()}
+        back = {(x["name"] if by else None, x["date"]): x["return"] for x in portfolio.rolling_returns(part, 90, *by).collect()}
+        falls, returns = {}, {}
+        for n, points in groups.items():
+            for k, (d, e) in enumerate(points):
+                falls[n, d] = e / max(x for _, x in points[: k + 1]) - 1
+                then = next((x for t, x in points if (t - d).days >= 90), None)
+                if then is not None:
+                    returns[n, d] = then / e - 1
+        assert got == pytest.approx(falls) and back == pytest.approx(returns)
+
+
+def test_subjects_by_their_words(spark):
+    subjects = {
+        "Face Value Split From Rs.10/- To Re.1/-": (10.0, 1.0),
+        "From Rs 2 To Rs 1 And From Rs 1 To Rs 10": (2.0, 1.0),
+        "SPLIT TO RS 5 FROM RS 10 TO RS 2.50": (10.0, 2.5),
+        "Split From 10 To 2": (None, None),
+        "Split From Rs 10": (10.0, None),
+        "From Rs 10 To Rs 0": (10.0, None),
+        "": (None, None),
+        None: (None, None),
+    }
+    df = spark.createDataFrame([(s,) for s in subjects], "s string")
+    assert {r[0]: (r[1], r[2]) for r in df.select("s", *text.face_values(F.col("s"))).collect()} == subjects
+    ratios = {
+        "Bonus 1:2": (1.0, 2.0),
+        "Bonus Issue 3 : 1": (3.0, 1.0),
+        "bonus 1:1 / bonus 5:1": (1.0, 1.0),
+        "Rights 1:5, Bonus 2:1": (2.0, 1.0),
+        "Bonus shares 1:1": (None, None),
+        "Bonus": (None, None),
+        "Bonus 1.5:1": (None, None),
+        "Bonus 2:0": (2.0, None),
+    }
+    df = spark.createDataFrame([(s,) for s in ratios], "s string")
+    assert {r[0]: (r[1], r[2]) for r in df.select("s", *text.bonus_ratio(F.col("s"))).collect()} == ratios
+
+
+def test_amounts_as_they_are_shown(spark):
+    values = [1234567.891, -1234567.0, 999.995, 0.0, -0.001, 100000.0, 12345678.0, None, float("nan"), 70.04838562011719]
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k int, v double")
+    got = df.select("k", display.grouped(F.col("v")), display.short_amount(F.col("v")), display.percent(F.col("v")), display.tidy(F.col("v"))).orderBy("k").collect()
+    assert [r[1] for r in got] == ["12,34,567.89", "-12,34,567.00", "1,000.00", "0.00", "0.00", "1,00,000.00", "1,23,45,678.00", "–", "–", "70.05"]
+    assert [r[2] for r in got][:7] == ["12.3L", "-1234567", "1000", "0", "0", "1.0L", "1.2cr"]
+    assert got[9][4] == 70.0484 and got[0][4] == 1234570.0 and got[3][3] == "0.0%" and got[7][3] == "–"
+    cells = spark.createDataFrame([('a"b,c',), ("x\ny",), ("plain",), (None,)], "s string")
+    assert [r[0] for r in cells.select(display.csv_cell(F.col("s"))).collect()] == ['"a""b,c"', '"x\ny"', "plain", ""]

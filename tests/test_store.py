@@ -296,3 +296,23 @@ def test_positions_posted_at_one_time_get_ids_of_their_own(spark, tmp_path):
 def test_every_table_has_a_key():
     for schema, key in TABLES.values():
         assert key and set(key) <= {c.split()[0] for c in schema.split(", ")}
+
+
+def test_one_symbol_is_one_file(spark, tmp_path, monkeypatch):
+    store, config = Store(spark, str(tmp_path)), load()
+    days = [DAY + dt.timedelta(k) for k in range(30)]
+    commit = store.stage(bars(spark, days, [f"S{k:02}" for k in range(40)]))
+    store.versions("ingest_log").append([logged(d, "ok", "udiff", 40, "", None, commit) for d in days])
+    assert store.rebuild_indicators(config.indicators, bars_per_file=150) == 1200
+    found = store.symbol_indicators("S07")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() == 30 and re.search(r"PartitionFilters: \[[^]]*bucket#", plan)
+    assert found.select(F.input_file_name()).distinct().count() == 1
+    columns = store.table("indicators").columns
+    assert found.columns == columns and sorted(map(str, found.collect())) == sorted(map(str, store.table("indicators").filter("symbol = 'S07'").collect()))
+    ranges = store.table("indicators").groupBy(F.input_file_name()).agg(F.min("trade_date").alias("a"), F.max("trade_date").alias("b")).orderBy("a").collect()
+    assert len(ranges) > 5 and all(x["b"] < y["a"] for x, y in zip(ranges, ranges[1:], strict=False))
+    store.compact(grace=dt.timedelta(0))
+    assert store.symbol_indicators("S07").count() == 30 and store.symbol_indicators("none").count() == 0
+    store.replace("indicators", store.table("indicators"), files=1)  # without the other layout
+    assert store.symbol_indicators("S07").count() == 30

@@ -121,6 +121,10 @@ def _ranges(made: list[tuple[int, list[tuple[int, int]]]]) -> dict[int, np.ndarr
     return {k: np.array(v, np.int64) for k, v in out.items()}
 
 
+#: What ranks pieces of one length: rows that are alike in all of it are interchangeable, however often a task is run.
+PLACE = ("doc_id", "piece", "start", "ids_crc32")
+
+
 def ranked(found: DataFrame, histogram: dict[int, int], share_rows: int = 5_000) -> DataFrame:
     """found with `rank`: from 0, without gaps, among the rows of the same length.
 
@@ -128,11 +132,11 @@ def ranked(found: DataFrame, histogram: dict[int, int], share_rows: int = 5_000)
     """
     shares = [(length, -(-n // share_rows)) for length, n in histogram.items()]
     counts = found.sparkSession.createDataFrame(shares, "length bigint, shares bigint")
-    dealt = found.join(F.broadcast(counts), "length").withColumn("share", F.pmod(F.xxhash64("doc_id", "piece"), "shares")).drop("shares")
+    dealt = found.join(F.broadcast(counts), "length").withColumn("share", F.pmod(F.xxhash64(*PLACE), "shares")).drop("shares")
     sizes = dealt.groupBy("length", "share").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("share").rowsBetween(Window.unboundedPreceding, -1)
     shift = sizes.select("length", "share", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
-    own = Window.partitionBy("length", "share").orderBy("doc_id", "piece")
+    own = Window.partitionBy("length", "share").orderBy(*PLACE)
     numbered = dealt.withColumn("own", F.row_number().over(own) - 1)
     return numbered.join(shift, ["length", "share"]).withColumn("rank", F.col("own") + F.col("shift")).drop("own", "share", "shift")
 
@@ -142,7 +146,8 @@ def pack(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     Other columns are ignored. A null text counts as empty; an empty text is the end id alone, so every document has a piece. Repeated rows are
     packed as often as they come; a null doc_id stays null. An empty table gives no rows. Which of several equally
-    long pieces goes to which place depends only on doc_id and piece.
+    long pieces goes to which place depends only on doc_id, piece, start and ids: rows that share a doc_id are told apart
+    by their texts, and rows of one doc_id (a null one, say) are dealt out by them.
     """
     spark = docs.sparkSession
     found = written(pieces(docs, capacity), "pieces")

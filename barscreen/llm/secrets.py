@@ -28,6 +28,9 @@ NUMBER = re.compile(r"[0-9_/+=-]+")
 DIGEST = re.compile(r"(?:sha-?\d{0,3}|md5|blake\w*|digest|checksum|commit|etag|integrity|crc\d*)\W{0,3}$", re.I | re.A)
 DIGEST_LENGTHS = {32, 40, 56, 64, 96, 128}
 RATIO = 1.9
+#: Letters in the case of a word are held to a lower ratio: the vocabulary is mostly English, and long words of other
+#: languages come near RATIO, while of random keys of 16 letters and both cases only one in 20,000 looks like that.
+PLAIN, PLAIN_SHARE = re.compile(r"[A-Z]?[a-z]+|[A-Z]+"), 0.92
 WINDOW = 256  # characters of a long run that are tokenized at once
 
 
@@ -51,7 +54,7 @@ def random_spans(text: str, base: list[Span], ratio: float = RATIO, known: froze
             continue
         if len(run) in DIGEST_LENGTHS and DIGEST.search(text, max(0, start - 24), start):
             continue
-        if characters_per_token(run) < ratio:
+        if characters_per_token(run) < ratio * (PLAIN_SHARE if PLAIN.fullmatch(run) else 1):
             found.append(("random", start, end))
     return found
 

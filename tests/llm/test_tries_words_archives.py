@@ -285,3 +285,60 @@ def test_op13_magic_inside_members_and_damage(spark, tmp_path, small_ranges):
 
 def test_op13_empty(spark, tmp_path):
     assert warc.read_back(spark.createDataFrame([], PAGES)).count() == 0
+
+
+def test_op4_rows_that_share_a_doc_id_are_told_apart_by_their_texts(spark):
+    from barscreen.llm import packing
+
+    rows = [(k % 2 or None, f"{'a' if k % 3 else 'b'} {k} end") for k in range(60)] + [(7, "same"), (7, "same")]
+    found = []
+    for parts in (1, 5):
+        docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(parts)
+        found.append(Counter(tuple(r) for r in packing.pack(docs).collect()))
+    assert found[0] == found[1] and sum(found[0].values()) == len(rows)
+    pieces = packing.pieces(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    sizes = Counter(r["length"] for r in pieces.collect())
+    ranks = packing.ranked(pieces, sizes, share_rows=4).collect()
+    assert Counter((r["length"], r["rank"]) for r in ranks) == Counter((n, k) for n, c in sizes.items() for k in range(c))
+
+
+# -- 3 ----------------------------------------------------------------------------------------------------------------
+
+ALPHABETS = {
+    "base62": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789",
+    "base36": "abcdefghijklmnopqrstuvwxyz0123456789",
+    "BASE36": "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789",
+    "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
+    "url": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_",
+    "letters": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz",
+}
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_op3_precision_and_recall_on_planted_tokens(spark):
+    """Random tokens without a keyword, one in each document of the table: found, and little else."""
+    from pyspark.sql import functions as F
+
+    from barscreen.llm import secrets
+
+    r, texts = random.Random(33), spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("text IS NOT NULL").select("doc_id", "text").collect()
+    rows, planted = [], {}
+    for k, (doc_id, text) in enumerate(texts):
+        name = sorted(ALPHABETS)[k % len(ALPHABETS)]
+        token = "".join(r.choices(ALPHABETS[name], k=r.choice([16, 20, 24, 32, 40, 64])))
+        words = text.split(" ")
+        words.insert(r.randrange(len(words) + 1), token)
+        rows.append((doc_id, " ".join(words)))
+        planted[doc_id] = (name, token)
+    found = secrets.scanned(spark.createDataFrame(rows, "doc_id bigint, text string")).filter(F.col("n_random") > 0)
+    texts, true, false, hits = dict(rows), 0, 0, Counter()
+    for doc in found.collect():
+        for span in doc["spans"].split(","):
+            kind, start, end = span.split(":")
+            if kind == "random":
+                name, token = planted[doc["doc_id"]]
+                hit = texts[doc["doc_id"]][int(start) : int(end)] == token
+                true, false = true + hit, false + (not hit)
+                hits[name] += hit
+    assert true >= 0.97 * len(planted) and false <= 0.01 * true
+    assert min(hits[name] / sum(n == name for n, _ in planted.values()) for name in ALPHABETS) >= 0.93

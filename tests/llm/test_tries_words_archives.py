@@ -342,3 +342,25 @@ def test_op3_precision_and_recall_on_planted_tokens(spark):
                 hits[name] += hit
     assert true >= 0.97 * len(planted) and false <= 0.01 * true
     assert min(hits[name] / sum(n == name for n, _ in planted.values()) for name in ALPHABETS) >= 0.93
+
+
+# -- 5 ----------------------------------------------------------------------------------------------------------------
+
+
+def test_op5_added_spans_on_sentences_held_out_and_alone_or_in_a_batch():
+    from barscreen.llm import personal
+
+    weights = personal.fitted()
+    texts, labels = personal._sentences(400, 77)
+    bases = [personal.base_spans(t) for t in texts]
+    added = personal.field_spans(texts, bases, weights)
+    assert added[:60] == [personal.field_spans([t], [b], weights)[0] for t, b in zip(texts[:60], bases[:60], strict=True)]
+    true, false, missed = 0, 0, 0
+    for own, base, spans in zip(labels, bases, added, strict=True):
+        meets = lambda x, s: x[0] < s[2] and s[1] < x[1]
+        for s in spans:
+            met = [x for x in own if meets(x, s)]
+            hit = bool(met) and all(x[2] and personal.ADDED[x[2] - 1] == s[0] for x in met)
+            true, false = true + hit, false + (not hit)
+        missed += sum(x[2] > 0 and not any(meets(x, s) for s in (*base, *spans)) for x in own)
+    assert true > 150 and false <= 0.05 * true and missed <= 0.05 * true

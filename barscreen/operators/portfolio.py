@@ -7,8 +7,6 @@ many backtests are many groups; statistics of trades and curves are aggregations
 
 from __future__ import annotations
 
-import functools
-import operator
 from collections import defaultdict
 from collections.abc import Callable
 
@@ -109,24 +107,26 @@ def _curve_window(by: tuple[str, ...]) -> WindowSpec:
     return Window.partitionBy(*(by or (F.lit(1),)))
 
 
-def _beside(rows: DataFrame, summary: DataFrame, key: tuple[str, ...], value: str) -> DataFrame:
+def _beside(rows: DataFrame, summary: DataFrame, key: str, value: str) -> DataFrame:
     """rows with the value of their key's row in summary; null is a key like any other."""
-    renamed = summary.select(*[F.col(c).alias(f"_key_{c}") for c in key], value)
-    same = functools.reduce(operator.and_, [F.col(c).eqNullSafe(F.col(f"_key_{c}")) for c in key])
-    return rows.join(renamed, same, "left").drop(*[f"_key_{c}" for c in key])
+    renamed = summary.select(F.col(key).alias("_key"), value)
+    return rows.join(renamed, F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key")
 
 
 def drawdowns(curve: DataFrame, *by: str) -> DataFrame:
     """curve with `drawdown`, from the highest point so far (within `by`).
 
-    In two levels, so that no curve is ordered in one task, however long: the highest point of each month, the highest of
-    the months before (a row a month), and within a month the highest so far.
+    Many curves (`by`) are dealt out. A single one goes in two levels, so that it isn't ordered in one task, however long: the
+    highest point of each month, the highest of the months before (a row a month), and within a month the highest so far.
     """
+    if by:
+        peak = F.max("equity").over(_curve_window(by).orderBy("date").rowsBetween(Window.unboundedPreceding, 0))
+        return curve.withColumn("drawdown", F.col("equity") / peak - 1)
     months = curve.withColumn("_month", F.trunc("date", "month"))
-    high = months.groupBy(*by, "_month").agg(F.max("equity").alias("_high"))
-    before = _curve_window(by).orderBy("_month").rowsBetween(Window.unboundedPreceding, -1)
-    met = _beside(months, high.withColumn("_before", F.max("_high").over(before)), (*by, "_month"), "_before")
-    within = F.max("equity").over(Window.partitionBy(*by, "_month").orderBy("date").rowsBetween(Window.unboundedPreceding, 0))
+    high = months.groupBy("_month").agg(F.max("equity").alias("_high"))
+    before = _curve_window(()).orderBy("_month").rowsBetween(Window.unboundedPreceding, -1)
+    met = _beside(months, high.withColumn("_before", F.max("_high").over(before)), "_month", "_before")
+    within = F.max("equity").over(Window.partitionBy("_month").orderBy("date").rowsBetween(Window.unboundedPreceding, 0))
     return met.withColumn("drawdown", F.col("equity") / F.greatest("_before", within) - 1).drop("_month", "_before")
 
 
@@ -187,22 +187,26 @@ def yearly_returns(curve: DataFrame, *by: str) -> DataFrame:
 def rolling_returns(curve: DataFrame, window_days: int = 365, *by: str) -> DataFrame:
     """(*by, date, return): from each point to the first one at least window_days later; points without one are left out.
 
-    In buckets of days, so that no curve is ordered in one task, however long: the points of a bucket and the days that are
-    asked for in it meet in one order; where no point follows in the bucket, the first of the next bucket is taken, of
-    which there is a row each.
+    Many curves (`by`) are dealt out. A single one goes in buckets of days, so that it isn't ordered in one task, however long:
+    the points of a bucket and the days that are asked for in it meet in one order; where no point follows in the bucket,
+    the first of the next bucket is taken, of which there is a row each.
     """
+    if by:
+        later = _curve_window(by).orderBy("_day").rangeBetween(window_days, Window.unboundedFollowing)
+        found = curve.withColumn("_day", F.unix_date("date")).withColumn("_then", F.first("equity").over(later)).filter("_then is not null")
+        return found.select(*by, "date", (F.col("_then") / F.col("equity") - 1).alias("return"))
     width = max(1, window_days)
-    points = curve.select(*by, F.unix_date("date").alias("_day"), F.col("equity").alias("_point"), F.lit(None).cast("date").alias("date"), F.lit(None).cast("double").alias("_from"))
-    asked = curve.filter("date IS NOT NULL").select(*by, (F.unix_date("date") + window_days).alias("_day"), F.lit(None).cast("double").alias("_point"), "date", F.col("equity").alias("_from"))
+    points = curve.select(F.unix_date("date").alias("_day"), F.col("equity").alias("_point"), F.lit(None).cast("date").alias("date"), F.lit(None).cast("double").alias("_from"))
+    asked = curve.filter("date IS NOT NULL").select((F.unix_date("date") + window_days).alias("_day"), F.lit(None).cast("double").alias("_point"), "date", F.col("equity").alias("_from"))
     points = points.filter("_day IS NOT NULL").withColumn("_is_point", F.lit(True))
     both = points.unionByName(asked.withColumn("_is_point", F.lit(False))).withColumn("_bucket", F.floor(F.col("_day") / width))
-    follows = Window.partitionBy(*by, "_bucket").orderBy("_day").rangeBetween(0, Window.unboundedFollowing)
+    follows = Window.partitionBy("_bucket").orderBy("_day").rangeBetween(0, Window.unboundedFollowing)
     here = F.first(F.when(F.col("_is_point"), F.struct("_point")), ignorenulls=True).over(follows)
-    firsts = both.groupBy(*by, "_bucket").agg(F.min_by(F.struct("_point"), F.when(F.col("_is_point"), F.col("_day"))).alias("_first"))
-    later = F.first("_first", ignorenulls=True).over(_curve_window(by).orderBy("_bucket").rowsBetween(1, Window.unboundedFollowing))
-    met = _beside(both.withColumn("_here", here).filter("NOT _is_point"), firsts.withColumn("_next", later), (*by, "_bucket"), "_next")
+    firsts = both.groupBy("_bucket").agg(F.min_by(F.struct("_point"), F.when(F.col("_is_point"), F.col("_day"))).alias("_first"))
+    later = F.first("_first", ignorenulls=True).over(_curve_window(()).orderBy("_bucket").rowsBetween(1, Window.unboundedFollowing))
+    met = _beside(both.withColumn("_here", here).filter("NOT _is_point"), firsts.withColumn("_next", later), "_bucket", "_next")
     found = met.withColumn("_then", F.coalesce("_here", "_next")["_point"]).filter("_then IS NOT NULL")
-    return found.select(*by, "date", (F.col("_then") / F.col("_from") - 1).alias("return"))
+    return found.select("date", (F.col("_then") / F.col("_from") - 1).alias("return"))
 
 
 def distribution(returns: DataFrame, *by: str) -> DataFrame:

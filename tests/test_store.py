@@ -316,3 +316,19 @@ def test_one_symbol_is_one_file(spark, tmp_path, monkeypatch):
     assert store.symbol_indicators("S07").count() == 30 and store.symbol_indicators("none").count() == 0
     store.replace("indicators", store.table("indicators"), files=1)  # without the other layout
     assert store.symbol_indicators("S07").count() == 30
+
+
+def test_a_root_that_only_hadoop_reaches(spark, tmp_path):
+    spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.bars.link./in", f"file://{tmp_path}")
+    store = Store(spark, "viewfs://bars/in/s")
+    assert store.files.local("x") is None
+    for k in range(3):
+        store.write_day(DAY + dt.timedelta(k), "udiff", bars(spark, [DAY + dt.timedelta(k)]))
+    assert store.add_position("AAA", DAY, 1.0, 1) == 1 and store.add_position("BBB", DAY, 1.0, 1) == 2
+    assert not store.versions("positions").files.publish("entries/000000000001.json", b"{}")
+    name = store.land("20240306.csv", f"{UDIFF}\n2024-03-06,AAA,EQ,STK,IN1,10,11,9,10,10,1000,10500.5,12\n".encode())
+    assert [r["stored"] for r in store.take_in(landed_at(spark, name), Universe())] == [{dt.date(2024, 3, 6): 1}]
+    assert store.compact_prices(grace=dt.timedelta(0)) == 4 and len(store.files.names("prices")) == 1
+    assert store.prices().count() == 7 and store.table("positions").count() == 2
+    assert daily.write_csv(store.table("positions"), store.files, "held", DAY) == "viewfs://bars/in/s/held_2024-03-01.csv"
+    assert (tmp_path / "s/held_2024-03-01.csv").read_text().startswith("position_id,")

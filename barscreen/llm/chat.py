@@ -33,7 +33,8 @@ def formatted(conversations: DataFrame) -> DataFrame:
     """(conv_id, formatted): one row for each conv_id of conversations (conv_id, turn, role, text; others are ignored).
 
     Turns are in order of turn, then role, then text, with nulls first; repeated rows stay. A null role or text counts
-    as empty. Rows with a null conv_id form one conversation. A conversation is one string, so it must fit one row.
+    as empty. Rows with a null conv_id form one conversation. A conversation is one string, so it must fit one row; within
+    that, texts of any length are whole. An empty table gives no rows.
     """
     rows = narrow(conversations, "conv_id", "turn", "role", "text")
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))

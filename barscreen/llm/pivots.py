@@ -136,7 +136,7 @@ def near_duplicate_vectors(
     zero, or holds null or non-finite components, and a row without a label, has no links and is its own component.
     Repeated rows are vectors of their own. component_id is the smallest vec_id of a component (null vec_ids take
     part in links but never name one); kept says that a row has that vec_id. The index is fitted on `pivots` vectors
-    and holds all vectors.
+    and holds all vectors. Vectors of any length are compared whole. An empty table gives no rows.
     """
     all_rows = narrow(vectors, "vec_id", "embedding", "label")
     sound = all_rows.filter(F.col("label").isNotNull() & usable(F.col("embedding")) & F.exists("embedding", lambda x: x != 0))

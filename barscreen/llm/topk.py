@@ -81,8 +81,8 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, parts: int = 2, query
     vectors: (vec_id, embedding); others are ignored. queries: a condition on vec_id that marks the query rows. A
     score is the integer inner product of floor(256 * x); ties go to the smaller vec_id. Vectors that are null or
     hold null or non-finite components, and rows with a null vec_id, take no part; vectors of different lengths
-    aren't compared. Repeated rows are vectors, and queries, of their own. Fewer than k others: all of them. An empty
-    table gives no rows.
+    aren't compared, and those of any length count whole. Repeated rows are vectors, and queries, of their own. Fewer than k
+    others: all of them. An empty table gives no rows.
     """
     rows = narrow(vectors, "vec_id", "embedding").filter(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
     rows = written(rows.select(F.monotonically_increasing_id().alias("row"), "vec_id", "embedding", F.size("embedding").alias("dim"), F.coalesce(queries, F.lit(False)).alias("asks")), "vectors")

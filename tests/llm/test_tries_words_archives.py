@@ -364,3 +364,15 @@ def test_op5_added_spans_on_sentences_held_out_and_alone_or_in_a_batch():
             true, false = true + hit, false + (not hit)
         missed += sum(x[2] > 0 and not any(meets(x, s) for s in (*base, *spans)) for x in own)
     assert true > 150 and false <= 0.05 * true and missed <= 0.05 * true
+
+
+# -- empty tables of earlier operators --------------------------------------------------------------------------------
+
+
+def test_empty_tables_give_no_rows(spark):
+    from barscreen.llm import chat, copies, personal, pivots
+
+    docs = spark.createDataFrame([], "doc_id bigint, text string")
+    assert personal.scanned(docs).count() == 0 and copies.near_copies(docs).count() == 0
+    assert chat.digests(spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string")).count() == 0
+    assert pivots.near_duplicate_vectors(spark.createDataFrame([], "vec_id bigint, embedding array<float>, label int")).count() == 0

@@ -128,8 +128,8 @@ def subject_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Type and factor of subjects that name sizes and prices of parts."""
     subject, kind = F.col("subject"), F.col("action_type")
     made = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.expr(_SUBJECT).alias("subject")).withColumn("action_type", text.classify(subject))
-    noted = F.contains(F.coalesce(text.factor_note(subject, kind), F.lit("")), F.lit("bonus")) & F.contains(kind, F.lit("bonus"))
-    return rounded(made.select("p_partkey", "action_type", text.action_factor(subject, kind).alias("factor"), noted.alias("no_bonus")))
+    noted = F.contains(F.coalesce("read.note", F.lit("")), F.lit("bonus")) & F.contains(kind, F.lit("bonus"))
+    return rounded(made.withColumn("read", text.read_factor(subject, kind)).select("p_partkey", "action_type", "read.factor", noted.alias("no_bonus")))
 
 
 _RAW = "CASE l_linenumber % 5 WHEN 0 THEN '-' WHEN 1 THEN ' ' || l_extendedprice || ' ' WHEN 2 THEN CAST(CAST(l_quantity AS INTEGER) AS VARCHAR(20)) WHEN 3 THEN '' ELSE 'x' || l_quantity END"

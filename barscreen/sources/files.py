@@ -193,7 +193,8 @@ def actions_from(rows: DataFrame, universe: Universe) -> DataFrame:
     if universe.series:
         kept = kept.filter(F.col("series").isin(*universe.series))
     subject, kind = F.col("subject"), F.col("action_type")
-    return kept.withColumns({"adj_factor": text.action_factor(subject, kind), "note": text.factor_note(subject, kind)})
+    read = kept.withColumn("read", text.read_factor(subject, kind))
+    return read.select(*kept.columns, F.col("read.factor").alias("adj_factor"), "read.note")
 
 
 def read_actions(spark: SparkSession, path: str, universe: Universe) -> DataFrame:

@@ -166,6 +166,26 @@ def test_op10_long_and_short_lines(spark):
     assert Counter(x["text"] for x in again) == {"a b c d\nall new here": 1, "e f g h\n \t": 2}
 
 
+def test_op10_compares_each_set_in_one_list_first(spark, monkeypatch):
+    """Whole words are compared in a set's first list; other lists only serve sets that match nothing there."""
+    calls, matched = [], lines._matched
+
+    def spied(entries, *rest):
+        found = matched(entries, *rest)
+        calls.append((entries.groupBy("doc_id", "line").count().agg(F.max("count")).first()[0], found.count()))
+        return found
+
+    monkeypatch.setattr(lines, "_matched", spied)
+    monkeypatch.setattr(lines, "_off", lambda a, b: F.lit(0))  # else parity bits leave hardly a set for the second round
+    r = random.Random(9)
+    families = [[f"w{r.randrange(60)}" for _ in range(r.randint(10, 16))] for _ in range(40)]
+    texts = ["\n".join(" ".join(r.sample(f, len(f) - r.randrange(2)) + [f"w{r.randrange(60)}"] * r.randrange(2)) for f in r.sample(families, 5)) for _ in range(30)]
+    out = {x["doc_id"]: x["n_removed"] for x in lines.deduplicated(documents(spark, texts)).collect()}
+    gone = Counter(i for i, _ in plain_lines(enumerate(texts)))
+    assert out == {i: gone[i] for i in range(len(texts))}
+    assert [most for most, _ in calls][:1] == [1] and len(calls) == 2 and min(n for _, n in calls) > 0
+
+
 def test_op10_rarity_tells_frequent_words_apart(spark):
     counts = [1, 2, 3, 1 << 15, 1 << 16, 1 << 20, 1 << 30, 1 << 41]
     levels = [x[0] for x in spark.createDataFrame([(n,) for n in counts], "n bigint").select(lines.level_of(F.col("n"))).collect()]

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barscreen.llm.common import packed, small_batches, unpacked, written
-from barscreen.llm.packing import encoding
+from barscreen.llm.packing import encoded
 
 LEAF = ("_domain", "_lang", "_source")
 DOMAINS = ("web", "reference", "community")
@@ -39,7 +39,7 @@ def token_counts(text: Column) -> Column:
 
     @F.pandas_udf("bigint")
     def count(texts: pd.Series) -> pd.Series:
-        return pd.Series([len(encoding().encode(t, allowed_special="all")) if t else 0 for t in texts], dtype="int64")
+        return pd.Series([len(encoded(t)) if t else 0 for t in texts], dtype="int64")
 
     return count(text)
 

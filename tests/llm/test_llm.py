@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
@@ -79,6 +80,42 @@ def test_op2_simhash(spark, block):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_fingerprints_of_odd_texts(monkeypatch):
+    texts = [*ODD, "a", "a b c", " a  b\tc\u00a0d\x0be ", "\x1c a \x85 B", "lone \ud800 half", "same " * 50]
+    expected = {}
+    for words in (1, 2, 3, 5):
+        for t in texts:
+            w = (t or "").encode("utf-8", "surrogatepass").lower().split()
+            h = [xxhash.xxh64_intdigest(b" ".join(w[k : k + words]), 42) for k in range(max(1, len(w) - words + 1))]
+            expected[words, t] = sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)) if w else 0
+    for chunk in (simhash.CHUNK, 7, 1):
+        monkeypatch.setattr(simhash, "CHUNK", chunk)
+        assert all(simhash.fingerprint(t, words) == f for (words, t), f in expected.items())
+
+
+def in_gray_order(fps):
+    gray = fps.copy()
+    for k in (1, 2, 4, 8, 16, 32):
+        gray ^= gray >> np.uint64(k)
+    return fps[np.argsort(gray)]
+
+
+def test_simhash_leaves_are_compared_whole_and_in_small_pieces():
+    r = np.random.default_rng(6)
+    base = r.integers(0, 1 << 63, 6000, dtype=np.uint64)
+    fps = in_gray_order(np.unique(np.concatenate([base, base[:2000] ^ (np.uint64(1) << r.integers(0, 63, 2000).astype(np.uint64))])))
+    for size in (*range(1, 2 * simhash.LEAF + 2), 1000):  # the last leaf is full or not
+        few = fps[:size]
+        root = np.arange(size)
+        simhash._merge(root, *np.nonzero(np.bitwise_count(few[:, None] ^ few[None, :]) <= 3))
+        assert (simhash.linked(few, None, 3) == root).all()
+    tracemalloc.start()
+    root = simhash.linked(fps, None, 3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(set(root)) < len(fps) and peak < 32e6  # before, indices of the members of each pair took over 200 MB
+
+
 def test_simhash_index_finds_all_pairs():
     r = np.random.default_rng(4)
     base = r.integers(0, 1 << 63, 60, dtype=np.uint64)

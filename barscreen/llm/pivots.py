op7_pivot_near_dedup: lists compared from Arrow columns, fewer entries, a cheaper last join

Symptom: op7_pivot_near_dedup takes 1536 CPU seconds per GB on 0.02 GB: JVM 825, Python 661, GC 40 (the profiler, whole run).
Evidence: the stage that compares lists takes 16 s of tasks for 410,256 entries: pandas objects for each vector and sums over 64-bit words for each pair; every vector goes with its embedding into all 8 lists (101 of 158 MB shuffled); the last join sorts by whole vectors (4 s) after units with their vectors were shuffled twice more.
Fix: a group arrives as an Arrow table, and shared pivots are counted by one product of 0/1 rows; a vector is listed under a pivot only if enough larger ones follow for a pair; units are numbered and linked without their vectors, which join the rows once, by a hash before the vectors. Cosines are still taken in double precision, as before.
Effect, together with 2 more commits on this code: at 0.6 GB of input CPU 444 -> 362 s, shuffle 0.27 -> 0.20 GB, spill 0.00 -> 0.00 GB, read 0.15 -> 0.15 GB, longest task 7 -> 5 s, most memory of a task 68 -> 68 MB; at 6 GB of input CPU 2410 -> 834 s, shuffle 2.68 -> 2.05 GB, spill 0.00 -> 0.00 GB, read 1.73 -> 1.73 GB, longest task 62 -> 16 s, most memory of a task 109 -> 113 MB; with hot keys, at 0.6 GB of input CPU 466 -> 360 s, shuffle 0.24 -> 0.18 GB, spill 0.00 -> 0.00 GB, read 0.16 -> 0.16 GB, longest task 10 -> 5 s, most memory of a task 68 -> 68 MB.

@@ -2,7 +2,8 @@
 
 A vector is described by its `nearest` reference vectors in order of nearness. Two vectors of one label become candidates
 if they share at least `shared` of those; inverted lists, one for each label and pivot, bring them together, and a pair
-counts only in the list of the smallest pivot that it shares, so that it is seen once. A list with more than `max_list`
+counts only in the list of the smallest pivot that it shares, so that it is seen once; vectors that have fewer than
+`shared` - 1 pivots beyond a list's can't be in such a pair and stay out of it. A list with more than `max_list`
 vectors is split by the next shared pivot, which loses nothing while fewer than `shared` pivots are fixed; a list that is
 still too long is compared in pairs of blocks. Every candidate is verified by its cosine in double precision. Tasks
 return a count and one link to a root for each vector, never all pairs of a group; equal vectors are compared once.
@@ -11,14 +12,14 @@ return a count and one link to a root for each vector, never all pairs of a grou
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barscreen.llm.common import narrow, written
 from barscreen.llm.components import connected_components
 from barscreen.llm.simhash import _merge
-from barscreen.llm.vectors import matrix, usable
+from barscreen.llm.vectors import flat, usable
 
 CHUNK = 1 << 15  # pairs that are verified at once
 COLUMNS = "unit bigint, copies bigint, prefix array<int>, embedding array<float>, key bigint, top int"
@@ -51,44 +52,39 @@ def permutations(vectors: DataFrame, pivots: np.ndarray, nearest: int) -> DataFr
     """vectors with `prefix`: the nearest reference vectors, nearest first."""
     nearest = min(nearest, len(pivots))
 
-    @F.pandas_udf("array<int>")
-    def prefix(embedding: pd.Series) -> pd.Series:
-        out: list = [None] * len(embedding)
-        width = embedding.map(len).to_numpy()
+    @F.arrow_udf("array<int>")
+    def prefix(embedding: pa.Array) -> pa.Array:
+        out = np.empty((len(embedding), nearest), np.int32)
+        width = np.diff(embedding.offsets.to_numpy())
         for n in np.unique(width):
             at = np.flatnonzero(width == n)
-            near = np.argsort(-(matrix(embedding.iloc[at]) @ _sized(pivots, n).T), axis=1, kind="stable")[:, :nearest]
-            for k, row in zip(at, near.astype(np.int32), strict=True):
-                out[k] = row
-        return pd.Series(out)
+            out[at] = np.argsort(-(flat(embedding.take(pa.array(at))).astype(np.float64) @ _sized(pivots, n).T), axis=1, kind="stable")[:, :nearest]
+        return pa.ListArray.from_arrays(nearest * np.arange(len(out) + 1, dtype=np.int32), out.ravel())
 
     return vectors.withColumn("prefix", prefix("embedding"))
 
 
-def _bits(prefix: pd.Series, words: int) -> np.ndarray:
-    """Pivot sets as rows of 64-bit words."""
-    at, out = np.array(prefix.tolist(), np.int64), np.zeros((len(prefix), words), np.uint64)
-    for k in range(at.shape[1]):
-        out[np.arange(len(at)), at[:, k] // 64] |= np.uint64(1) << (at[:, k] % 64).astype(np.uint64)
-    return out
-
-
-def _linker(threshold: float, shared: int, words: int):
-    def run(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
+def _linker(threshold: float, shared: int):
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
         """Links between block one and block two of a list (the same block, or two different ones)."""
-        one, two = key[1], key[2]
-        depth, top = int(df["depth"].iloc[0]), int(df["top"].iloc[0])
-        left, right = df["block"].to_numpy() == one, df["block"].to_numpy() == two
-        v, sets, copies = matrix(df["embedding"]), _bits(df["prefix"], words), df["copies"].to_numpy(np.int64)
+        one, two = key[1].as_py(), key[2].as_py()
+        depth, top = rows["depth"][0].as_py(), rows["top"][0].as_py()
+        unit, copies, block = (rows[c].to_numpy() for c in ("unit", "copies", "block"))
+        v, prefix = flat(rows["embedding"]).astype(np.float64), flat(rows["prefix"])
         v /= np.sqrt((v * v).sum(axis=1))[:, None]
-        below = np.array([(1 << 64) - 1 if 64 * (w + 1) <= top else (1 << max(0, top - 64 * w)) - 1 for w in range(words)], np.uint64)
-        rows, columns = np.flatnonzero(left), np.flatnonzero(right)
-        links, parent = np.zeros(len(df), np.int64), np.arange(len(df))
+        pivots, at = np.unique(prefix, return_inverse=True)
+        sets = np.zeros((len(rows), len(pivots)), np.float32)
+        np.put_along_axis(sets, at.reshape(prefix.shape), 1, axis=1)
+        weight = prefix.shape[1] + 1  # more than all the pivots of a vector: a sum tells how many shared ones are below top
+        weighed = sets * np.where(pivots < top, weight, 1).astype(np.float32)
+        least, beyond = weight * (depth - 1) + shared - (depth - 1), weight * depth
+        rows_at, columns = np.flatnonzero(block == one), np.flatnonzero(block == two)
+        links, parent, others = np.zeros(len(rows), np.int64), np.arange(len(rows)), sets[columns].T
         step = max(1, (1 << 21) // max(1, len(columns)))
-        for k in range(0, len(rows), step):
-            part = rows[k : k + step]
-            common = sets[part][:, None, :] & sets[columns][None, :, :]
-            found = (np.bitwise_count(common).sum(axis=2) >= shared) & (np.bitwise_count(common & below).sum(axis=2) == depth - 1)
+        for k in range(0, len(rows_at), step):
+            part = rows_at[k : k + step]
+            common = weighed[part] @ others
+            found = (common >= least) & (common < beyond)
             if one == two:
                 found &= part[:, None] < columns[None, :]
             a, b = np.nonzero(found)
@@ -100,19 +96,22 @@ def _linker(threshold: float, shared: int, words: int):
                 np.add.at(links, x, copies[y])
                 np.add.at(links, y, copies[x])
                 _merge(parent, x, y)
-        at, unit = np.flatnonzero(links), df["unit"].to_numpy()
-        return pd.DataFrame({"unit": unit[at], "links": links[at], "root": unit[parent[at]]})
+        at = np.flatnonzero(links)
+        return pa.table({"unit": unit[at], "links": links[at], "root": unit[parent[at]]})
 
     return run
 
 
 def _lists(described: DataFrame, shared: int, max_list: int) -> DataFrame:
-    """Each vector once for each list that it is in, with that list's depth, largest pivot and block numbers."""
-    now = described.withColumn("key", F.xxhash64("label", F.size("embedding"))).withColumn("top", F.lit(-1))
+    """Each vector once for each list that it can have a pair in, with that list's depth, largest pivot and block numbers.
+
+    A pair shares `shared - depth` pivots or more beyond its list's largest one, so a vector that has fewer isn't listed.
+    """
+    now = described.withColumns({"key": F.xxhash64("label", F.size("embedding")), "top": F.lit(-1), "prefix": F.sort_array("prefix")})
     done = None
     for depth in range(1, shared + 1):
         after = F.filter("prefix", lambda p: p > F.col("top"))
-        now = now.withColumn("p", F.explode(after)).withColumn("key", F.xxhash64("key", "p")).withColumn("top", F.col("p"))
+        now = now.withColumn("p", F.explode(F.slice(after, 1, F.greatest(F.size(after) - (shared - depth), F.lit(0))))).withColumn("key", F.xxhash64("key", "p")).withColumn("top", F.col("p"))
         now = now.selectExpr(*[x.split()[0] for x in COLUMNS.split(", ")], f"{depth} AS depth")
         long = written(now.groupBy("key").count().filter(F.col("count") > max_list).select("key", F.ceil(F.col("count") / max_list).alias("blocks")), "long-lists")
         if long.isEmpty():
@@ -152,15 +151,18 @@ def near_duplicate_vectors(
     found = written(
         dealt.select("unit", "copies", "prefix", "embedding", "key", "top", "depth", "block", "one", "two")
         .groupBy("key", "one", "two")
-        .applyInPandas(_linker(threshold, shared, max(1, -(-len(reference) // 64))), "unit bigint, links bigint, root bigint"),
+        .applyInArrow(_linker(threshold, shared), "unit bigint, links bigint, root bigint"),
         "vector-links",
     )
     counted = found.groupBy("unit").agg(F.sum("links").alias("links"))
     roots = connected_components(found.select(F.col("unit").alias("u"), F.col("root").alias("v")))
-    named = units.join(counted, "unit", "left").join(roots.withColumnRenamed("id", "unit"), "unit", "left")
+    named = units.select("unit", "first_id").join(counted, "unit", "left").join(roots.withColumnRenamed("id", "unit"), "unit", "left")
     named = named.withColumn("c", F.coalesce("component_id", "unit")).drop("component_id")
     least = named.groupBy("c").agg(F.min("first_id").alias("component_id"))
-    named = named.join(least, "c").select("label", "embedding", "copies", F.coalesce("links", F.lit(0)).alias("links"), "component_id")
-    out = all_rows.join(named, ["label", "embedding"], "left")
+    named = named.join(least, "c").select("unit", F.coalesce("links", F.lit(0)).alias("links"), "component_id")
+    keyed = lambda df: df.withColumn("key", F.xxhash64("label", "embedding"))  # noqa: E731  first in the join's order, it spares comparisons of vectors
+    of_row = keyed(all_rows).join(keyed(units.select("label", "embedding", "unit", "copies")), ["key", "label", "embedding"], "left").select("vec_id", "unit", "copies")
+    nowhere = -1 - F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20))  # no unit is negative: rows without one are spread over tasks
+    out = of_row.withColumn("unit", F.coalesce("unit", nowhere)).join(named, "unit", "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce(F.col("links") + F.col("copies") - 1, F.lit(0)).alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))

@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -359,6 +360,47 @@ def test_op7_pivots(spark, max_list):
     assert pivots.near_duplicate_vectors(df.limit(0)).count() == 0
 
 
+def test_op7_lists_vectors_only_where_they_can_have_a_pair(spark):
+    """Of eight pivots the two largest can't be the smallest of three shared ones; splits keep the rule."""
+    r = np.random.default_rng(8)
+    rows = [(k, 1, [int(x) for x in r.permutation(12)[:8]], [1.0, 2.0], 0) for k in range(60)]
+    described = spark.createDataFrame(rows, "unit bigint, copies bigint, prefix array<int>, embedding array<float>, label int")
+    listed = pivots._lists(described, 3, 4096).collect()
+    assert sorted((x.unit, x.top) for x in listed) == sorted((u, p) for u, _, prefix, *_ in rows for p in sorted(prefix)[:6])
+    split = pivots._lists(described, 3, 15).collect()
+    assert {x.depth for x in split} >= {2, 3} and all(sum(p > x.top for p in x.prefix) >= 3 - x.depth for x in split)
+
+
+@pytest.mark.parametrize("depth", [1, 2, 3])
+def test_op7_links_of_a_list_are_those_of_all_its_pairs(depth):
+    r, top = np.random.default_rng(depth), 6
+    n, prefix = 90, [sorted(int(x) for x in r.permutation(16)[:8]) for _ in range(90)]
+    v, copies, block = r.normal(size=(n, 5)).astype(np.float32), r.integers(1, 4, n), r.integers(0, 2, n)
+    rows = pa.table({"unit": np.arange(n) + 100, "copies": copies, "prefix": pa.array(prefix, pa.list_(pa.int32())), "embedding": pa.array(v.tolist(), pa.list_(pa.float32())), "top": pa.array([top] * n, pa.int32()), "depth": pa.array([depth] * n, pa.int32()), "block": block})
+    u = v.astype(float) / np.linalg.norm(v.astype(float), axis=1)[:, None]
+    for one, two in ((0, 0), (0, 1)):
+        links = Counter()
+        for i in range(n):
+            for j in range(n):
+                common = set(prefix[i]) & set(prefix[j])
+                if (block[i], block[j]) == (one, two) and (one != two or i < j) and len(common) >= 3 and sum(p < top for p in common) == depth - 1 and u[i] @ u[j] >= 0.3:
+                    links[i + 100] += int(copies[j])
+                    links[j + 100] += int(copies[i])
+        got = pivots._linker(0.3, 3)((pa.scalar(1), pa.scalar(one), pa.scalar(two)), rows).to_pylist()
+        assert links and {x["unit"]: x["links"] for x in got} == links
+        assert {x["root"] for x in got} <= links.keys()
+
+
+def test_op7_rows_that_link_with_nothing_or_more_than_once(spark):
+    near = [[1.0, 0.0, 2.0], [1.0, -0.0, 2.0], [1.001, 0.0, 2.0]]  # the first two are equal
+    rows = [(None if k % 7 == 0 else k, None, k % 2) for k in range(40)] + [(100 + k, v, None) for k, v in enumerate(near)]
+    rows += [(200 + k, near[k % 3], 1) for k in range(6)] + [(None, near[0], 1), (200, near[0], 1), (300, [1.0, 0.0], 1), (301, [0.0, -0.0, 0.0], 1)]
+    got = pivots.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")).collect()
+    alone = [(v, 0, v, v is not None) for v, e, lab in rows if e is None or lab is None or v in (300, 301)]
+    linked = [(v, 7, 200, v == 200) for v, e, lab in rows if lab == 1 and e in near]
+    assert Counter(map(tuple, got)) == Counter(alone + linked)
+
+
 @pytest.mark.parametrize("block", [7, 4096])
 def test_op9_top_k(spark, block):
     df = vectors(spark, 120)
